@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontaminate, langid, toxicity
+from tallyspark.llm import decontaminate, jaccard_join, langid, packing, toxicity
 from tallyspark.llm.queries import toxicity_lexicon
 from tallyspark.llm.tables import held_out, saved, table
+from tallyspark.llm.tokens import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +21,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity_lexicon(spark, sf_dir))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.representatives(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("language ID", language), ("toxicity", toxic), ("benchmark decontamination", benchmark)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences: one row for each piece."""
+    cut = saved(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), end_id=0), "pipeline-pieces")
+    return packing.packed(cut, ["doc_id"])
+
+
+STAGES = [("language ID", language), ("toxicity", toxic), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("best-fit packing", packing_stage)]
 ORACLE_SQL = None
 
 

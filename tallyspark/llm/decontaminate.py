@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.words import ALNUM, hashes, split, windows
+from tallyspark.llm.words import ALNUM, hashes, portions, split, windows
 
 N = 13
 #: Windows broadcast at once, of at most N words each.
@@ -109,7 +109,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int =
         carried = [key] + ["_text"] * (b + 1 < blocks)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, carried=carried) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches, "_text"):
                 words = split(batch.column("_text"), ALNUM)
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)

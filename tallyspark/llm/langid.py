@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.words import split
+from tallyspark.llm.words import portions, split
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -139,7 +139,7 @@ def fit(rows: DataFrame, max_documents: int = 600, max_grams: int = 400_000, max
     sample = rows.filter(F.col("lang").isin(languages) & (unit < F.try_element_at(share, F.col("lang"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             langs = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             words = split(batch.column("text"), LETTERS)
             pair, n = np.unique(np.repeat(langs, words.counts) * len(words.vocab) + words.codes, return_counts=True)
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: ByteTrees | None, keep: list[str] | None = N
         names = np.array([*trees_.languages, UNDETERMINED], dtype=object)
         cache: dict[bytes, int] = {}
         bits, letter = np.zeros((0, len(trees_.languages))), np.zeros(0, bool)
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             words = split(batch.column("_text"), LETTERS)
             if len(cache) > CACHE_WORDS:
                 cache, bits, letter = {}, bits[:0], letter[:0]

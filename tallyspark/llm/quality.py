@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.words import SPACED, split
+from tallyspark.llm.words import SPACED, portions, split
 
 THRESHOLD = 0.3
 _SHARES = (0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.45, 0.6, 0.8)
@@ -130,7 +130,7 @@ def binned(docs: DataFrame, positives: DataFrame) -> DataFrame:
     """(doc_id, bins, positive) of every document, saved; positives are ids, each once."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             b = described(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in b], pa.binary())], ["doc_id", "bins"])
 

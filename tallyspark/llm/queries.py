@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontaminate, langid, quality, topk, toxicity, url_filter
-from tallyspark.llm.tables import held_out, table
+from tallyspark.llm import chat, decontaminate, jaccard_join, langid, packing, quality, token_files, topk, toxicity, url_filter
+from tallyspark.llm.tables import held_out, saved, table
+from tallyspark.llm.tokens import vocabulary
 
 #: Fixed rules of the url query, as (verdict, host and path).
 URL_RULES = [
@@ -27,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clustered(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     out = out.withColumn("n_hit", decontaminate.hit_words())
@@ -44,6 +49,17 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, TOP_K)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = saved(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0), "pieces")
+    return packing.packed(cut, ["doc_id"])
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return token_files.read(token_files.written(docs, vocabulary("word_bpe_49k.json"), 2, shards))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(3, 1)))
@@ -75,7 +91,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_quality, op3_decontaminate, op4_topk, op7_langid, op8_url_filter, op9_toxicity, op10_chat)
+        for f in (op1_quality, op2_jaccard_join, op3_decontaminate, op4_topk, op5_packing, op6_token_files, op7_langid, op8_url_filter, op9_toxicity, op10_chat)
     }
 
 

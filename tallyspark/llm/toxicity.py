@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.words import Words, split
+from tallyspark.llm.words import Words, portions, split
 
 THRESHOLD = 0.3
 #: Word bytes: a-z after folding A-Z, digits, the signs $ and @, everything beyond ASCII.
@@ -139,7 +139,7 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
         return Lexicon()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             words = split(batch.column("text"), SIGNED)
             terms = [_terms(folded(w)) for w in words.vocab]
             label = batch.column("label").to_pylist()
@@ -158,7 +158,7 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(plain.value)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             label, out = batch.column("label").to_pylist(), {}
             for i, pair in set(matcher.sums(split(batch.column("text"), SIGNED))[1]):
                 out.setdefault(pair, [0, 0])[label[i]] += 1
@@ -204,7 +204,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _sums(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(lexicon)
-    for batch in batches:
+    for batch in portions(batches, text):
         words = split(batch.column(text), SIGNED)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(matcher.sums(words)[0]), pa.array(words.counts)], [*keep, "total", "n"])
 

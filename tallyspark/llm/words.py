@@ -7,6 +7,7 @@ word once and numpy does the rest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -90,3 +91,16 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
             return out
         power = joined(power[: len(power) - size], power[size:])
         size *= 2
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most bytes of text each, at least one row, so a task's memory
+    depends on neither Spark's batch size nor the lengths of the texts around a long one."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end, first = np.cumsum(size), 0
+        while first < batch.num_rows:
+            done = end[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(end, done + most, side="right")))
+            yield batch.slice(first, stop - first)
+            first = stop
