@@ -85,7 +85,7 @@ def compact(c: Column) -> Column:
 def listed(c: Column) -> Column:
     """A JSON list, or else a list divided by , ; or line breaks: trimmed, without blanks, each once."""
     parts = F.coalesce(F.from_json(c, "array<string>"), F.split(c, r"[,;\n]+"))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def financial_number(c: Column) -> Column:

@@ -10,7 +10,7 @@ from tallyspark.sources import table
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[_\\-]+', ' ', 'g'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{c}}, '')), '[a-z0-9]+'), w -> len(w) > 2 AND NOT list_contains({_STOP}, w))"
+_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{c}}, '')), '[a-z0-9]+'), lambda w: len(w) > 2 AND NOT list_contains({_STOP}, w))"
 
 
 def _alone(c, p):
@@ -61,7 +61,7 @@ def _requests(spark, d):
 
 
 def _found(phrases):
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_alone('text', p)} THEN '{p}' END" for p in phrases) + "], x -> x IS NOT NULL), ',')"
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_alone('text', p)} THEN '{p}' END" for p in phrases) + "], lambda x: x IS NOT NULL), ',')"
 
 
 @query(f"SELECT id, {_found(T.TIME_PHRASES)} AS v FROM ({_REQUESTS})")
@@ -158,7 +158,7 @@ def t_sha256(spark, d):
 
 
 @query(f"""WITH t AS (SELECT item_id, list_distinct({_TOKENS.format(c='text')}) AS w FROM benchmark), q AS (SELECT w FROM t WHERE item_id = 0)
-    SELECT item_id, CAST(len(list_filter(t.w, x -> list_contains(q.w, x))) AS INTEGER) AS common, CAST(len(list_filter(t.w, x -> NOT list_contains(q.w, x))) AS INTEGER) AS missing FROM t, q""")
+    SELECT item_id, CAST(len(list_filter(t.w, lambda x: list_contains(q.w, x))) AS INTEGER) AS common, CAST(len(list_filter(t.w, lambda x: NOT list_contains(q.w, x))) AS INTEGER) AS missing FROM t, q""")
 def s_token_intersection_difference(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
     q = t.filter("item_id = 0").select(F.col("w").alias("q"))
