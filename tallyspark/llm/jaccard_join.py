@@ -349,25 +349,57 @@ def small_regions(members: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(lambda b: _grouped(b, ["region"], solve), "node long, component long")
 
 
-def _compared(members: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
-    """(a, b, distance) of every pivot (region, chunk, node, shingles) and every member of that chunk."""
-    kinds = ["region", "chunk", "node", "shingles"]
+def _compared(members: DataFrame, pivots: DataFrame, parts: int, profile: bool) -> DataFrame:
+    """What comparing every pivot with every member of its chunk shows, both as rows of
+    (region, chunk, node, component, shingles).
+
+    (a, b) are links between components, a spanning forest of those found in a chunk, and
+    with profile there is (node, far) of each member with its distance to each pivot. Members
+    of one component need no comparison, and no chunk gives more links than it has components."""
+    kinds = ["region", "chunk", "node", "component", "shingles"]
     rows = members.select(*kinds, F.lit(False).alias("pivot")).unionByName(pivots.select(*kinds, F.lit(True).alias("pivot")))
 
     def solve(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = Sets(_sets(group.column("shingles")))
-        nodes = np.array(group.column("node").to_pylist(), dtype=np.int64)
+        nodes, component = (np.array(group.column(c).to_pylist(), dtype=np.int64) for c in ("node", "component"))
         pivot = np.array(group.column("pivot").to_pylist(), dtype=bool)
-        plain, out = np.flatnonzero(~pivot), []
+        names, label = np.unique(component, return_inverse=True)
+        plain, far, links = np.flatnonzero(~pivot), [], []
         for i in np.flatnonzero(pivot):
+            if not profile and (label[plain] == label[i]).all():
+                continue
             common = sets.common(int(i))[plain]
-            close = linked(common, int(sets.size[i]), sets.size[plain])
-            out.append((np.full(len(plain), nodes[i]), nodes[plain], 1 - common / (sets.size[i] + sets.size[plain] - common), close))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "distance", "close"])
+            if profile:
+                far.append(1 - common / (sets.size[i] + sets.size[plain] - common))
+            for other in np.unique(label[plain[linked(common, int(sets.size[i]), sets.size[plain])]]):
+                if other != label[i]:
+                    links.append((int(names[other]), int(names[label[i]])))
+                    label[label == other] = label[i]
+        members_ = nodes[plain].tolist() if profile else []
+        ids = nodes[pivot].tolist()
+        distances = [list(zip(ids, own, strict=True)) for own in np.stack(far, axis=1).tolist()] if far else [[] for _ in members_]
+        blank = [None] * len(links)
+        out = [
+            pa.array([*members_, *blank], pa.int64()),
+            pa.array([*(distances if profile else []), *blank], pa.map_(pa.int64(), pa.float64())),
+            *(pa.array([*[None] * len(members_), *(x[k] for x in links)], pa.int64()) for k in (0, 1)),
+        ]
+        yield pa.RecordBatch.from_arrays(out, ["node", "far", "a", "b"])
 
     dealt = rows.repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk")
-    return dealt.mapInArrow(lambda b: _grouped(b, ["region", "chunk"], solve), "a long, b long, distance double, close boolean")
+    return dealt.mapInArrow(lambda b: _grouped(b, ["region", "chunk"], solve), "node long, far map<long,double>, a long, b long")
+
+
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (region, node, component) after joining the components that the links connect."""
+    new = components(links).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    return saved(label.join(new, "component", "left").select("region", "node", F.coalesce("_new", "component").alias("component")), "jaccard-labels")
+
+
+def _cores(label: DataFrame) -> DataFrame:
+    """(region, core, most): the component that holds most of each region, and how many sets it has."""
+    sizes = label.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.max("n").alias("most"))
 
 
 def large_regions(members: DataFrame, parts: int) -> DataFrame:
@@ -375,50 +407,41 @@ def large_regions(members: DataFrame, parts: int) -> DataFrame:
     radius = 1 - PERCENT / HUNDRED + 1e-9
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / CHUNK))
     members = saved(members.withColumn("chunk", chunk), "jaccard-members")
-    links = None
     label = members.select("region", "node", F.col("node").alias("component"))
     profile = None
     for round_ in range(ROUNDS):
         # pivots: sets outside the component that holds most of the region, least hash first
-        sizes = label.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-        core = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.max("n").alias("most"))
-        outside = label.join(core, "region").filter((F.col("component") != F.col("core")) | (F.col("most") == 1))
-        ranked = _least_hashed(outside, round_)
-        chosen = members.join(ranked, ["region", "node"], "left_semi")
+        outside = label.join(_cores(label), "region").filter((F.col("component") != F.col("core")) | (F.col("most") == 1))
+        now = members.join(label, ["region", "node"])
+        chosen = now.join(_least_hashed(outside, round_), ["region", "node"], "left_semi")
         spread = chosen.drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("sets") / CHUNK) - 1)))
-        found = saved(_compared(members, spread, parts), "jaccard-distances")
-        close = found.filter("close").select("a", "b")
-        links = close if links is None else links.unionByName(close)
+        found = saved(_compared(now, spread, parts, round_ == 0), "jaccard-distances")
         if round_ == 0:
-            profile = found.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("a", "distance"))).alias("far"))
-        joined_ = components(links)
-        label = saved(members.select("region", "node").join(joined_, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "jaccard-labels")
+            profile = found.filter("node is not null").select("node", "far")
+        label = _relabelled(label, found.filter("a is not null").select("a", "b"))
 
     # Voronoi cells of the first pivots, in chunks; what isn't in the core is replicated into the chunks within its windows
-    sizes = label.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    core = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("core"))
-    placed = members.drop("chunk").join(profile.withColumnRenamed("b", "node"), "node").join(label, ["region", "node"]).join(core, "region")
+    placed = members.drop("chunk").join(profile, "node").join(label, ["region", "node"]).join(_cores(label).drop("most"), "region")
     nearest = F.array_min(F.transform(F.map_entries("far"), lambda e: F.struct(e["value"].alias("d"), e["key"].alias("p"))))["p"]
     placed = placed.withColumn("cell", nearest)
     many = placed.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("in_cell"))
     placed = placed.join(many, ["region", "cell"]).withColumn("chunk", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cell") / CHUNK))))
-    placed = saved(placed.select("region", "chunk", "node", "shingles", "far", (F.col("component") != F.col("core")).alias("open")), "jaccard-cells")
+    placed = saved(placed.select("region", "chunk", "node", "component", "shingles", "far", (F.col("component") != F.col("core")).alias("open")), "jaccard-cells")
     each = placed.select("region", "chunk", F.explode("far").alias("p", "d")).groupBy("region", "chunk", "p").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     windows_ = each.groupBy("region", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("lo", "hi").alias("w")))).alias("w"))
-    undecided = placed.filter("open").select("region", "node", "shingles", "far")
+    undecided = placed.filter("open").select("region", "node", "component", "shingles", "far")
     reach = undecided.join(windows_, "region").filter(
         F.forall(F.map_entries("far"), lambda e: (e["value"] >= F.element_at("w", e["key"])["lo"] - radius) & (e["value"] <= F.element_at("w", e["key"])["hi"] + radius))
     )
-    last = _compared(placed, reach.select("region", "chunk", "node", "shingles"), parts).filter("close").select("a", "b")
-    every = saved(links.unionByName(last), "jaccard-links")
-    return members.select("node").join(components(every), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    last = _compared(placed, reach.select("region", "chunk", "node", "component", "shingles"), parts, False)
+    return _relabelled(label, saved(last.select("a", "b"), "jaccard-links")).select("node", "component")
 
 
 def _least_hashed(rows: DataFrame, seed: int) -> DataFrame:
-    """(region, node) of about PIVOTS nodes of each region: those under a share of the hashes."""
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(sizes, "region").filter((unit * F.col("_n") < PIVOTS)).select("region", "node")
+    """(region, node) of about PIVOTS nodes of each region, one at least: those under a share of the hashes."""
+    rows = rows.withColumn("_unit", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) / float(1 << 30))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("_unit").alias("_least"))
+    return rows.join(sizes, "region").filter((F.col("_unit") * F.col("_n") < PIVOTS) | (F.col("_unit") == F.col("_least"))).select("region", "node")
 
 
 def clustered(docs: DataFrame, n: int = N) -> DataFrame:
