@@ -204,5 +204,5 @@ def predict(docs: DataFrame, model: ByteTrees | None, keep: list[str] | None = N
 
 def identified(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
     """The documents, all columns, whose language can be told; those that get ``und`` go."""
-    columns = docs.columns
-    return predict(docs.withColumn("_text_", F.col("text")), model, columns).filter(F.col("lang_pred") != UNDETERMINED).select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return predict(rows, model, ["_row"]).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")

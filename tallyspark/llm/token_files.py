@@ -273,8 +273,14 @@ def written(docs: DataFrame, vocabulary: str, end_id: int, shards: int) -> DataF
 
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the ids in the files."""
-    before = Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard", "segment", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    # the ids before a segment: those of the shards before and of the segments before in its shard
+    sizes = files.select("shard", "segment", "n_ids")
+    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("_ids"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(shards, "shard")
+    starts = starts.select("shard", "segment", (F.col("_before") + F.col("_inside")).alias("first"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -227,5 +227,5 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) ->
 
 def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
-    columns = docs.columns
-    return scored(docs, lexicon, columns).filter(F.col("score") < THRESHOLD).select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return scored(rows, lexicon, ["_row"]).filter(F.col("score") < THRESHOLD).select("_row.*")
