@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.tokens import SpacedEncoder, with_end
+from tallyspark.llm.tokens import SpacedEncoder, encoder_of, with_end
 from tallyspark.llm.words import portions
 
 CAPACITY = 2048
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
     keep = keep or ["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpacedEncoder(vocabulary)
+        encoder = encoder_of(SpacedEncoder, vocabulary)
         for batch in portions(batches, "_text"):
             ids, begin = with_end(*encoder.encode(batch.column("_text")), end_id)
             n = np.diff(begin)

@@ -5,13 +5,14 @@ and a CRC-32 of its ids. Three models predict the next id: the id that last
 followed the two ids before it (order 2), the one before it (order 1), and a
 running majority of the block (order 0). What happens at a place is one of
 four events: the order-2 prediction is right, else the order-1 one, else the
-order-0 one, else none, and the id follows literally. Each model keeps
-adaptive probabilities of the four events, those of orders 2 and 1 by how
-often that context was right lately; they are mixed with weights that follow
-how well each has done, and the mixture drives a carry-less range coder. All
-arithmetic is on integers, so reading repeats writing exactly.
+order-0 one, else none, and the id follows literally. Each model counts the
+four events, those of orders 2 and 1 by how often that context was right
+lately. At the places RENEWALS of a block the counts become probabilities,
+mixed with weights that follow how well each model has done; the mixture
+drives a carry-less range coder. All arithmetic is on integers, so reading
+repeats writing exactly.
 
-The blocks of a segment are coded side by side, one numpy lane for each block.
+LANES blocks of a segment are coded side by side, one numpy lane for each.
 
 A block in a file: MAGIC, number of ids, of code words, of literals, CRC-32
 (unsigned 32-bit, little-endian), then the code words and the literals
@@ -36,212 +37,236 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.tokens import WordEncoder, with_end
+from tallyspark.llm.tokens import WordEncoder, encoder_of, with_end
 
 BLOCK = 2048
-MAGIC = 0x31425442
+MAGIC = 0x31425443
 HEAD = struct.Struct("<5I")
 #: Ids buffered for a segment, which bounds memory and gives the lanes.
-SEGMENT_IDS = 6_000_000
-SLOTS = 11
+SEGMENT_IDS = 4_000_000
+#: Blocks coded side by side; more fill the cache with their tables.
+LANES = 2048
+SLOTS = 10
 BITS = 12
-_TOP, _BOTTOM, _MASK = np.uint64(32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
-_WORD = np.uint64(16)
+#: Places of a block at which its counts become probabilities.
+RENEWALS = frozenset((16, 32, 64, 128, 192, *range(256, BLOCK, 128)))
+#: Ids coded between two looks at the range: 2**40 outlasts four events of the least probability.
+STRIDE = 4
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+_WORD, _FIELD, _LEAST = np.uint64(16), np.uint64((1 << BITS) - 1), 8
+#: How sure a context is, from how sure it was, where its prediction was right.
+_SURER = np.array([1, 2, 3, 3], np.uint32)
+#: The two multipliers of the hash of a context.
+_HASH1, _HASH2 = np.uint32(2654435761), np.uint32(2246822519)
+_SHIFT = np.uint32(32 - SLOTS)
 
 
 class Mixer:
-    """Models of a number of lanes; predict() gives the four frequencies, update() learns the id."""
+    """Models of a number of lanes; predict() gives the frequencies, update() learns the ids.
+
+    A context's entry is its last id shifted by two bits, with how sure it is (0 to 3) in them.
+    Frequencies are cumulative, four fields of BITS bits and the whole above them."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane << SLOTS
-        self.last2, self.last1 = np.zeros(lanes << SLOTS, np.uint16), np.zeros(lanes << SLOTS, np.uint16)
-        self.sure2, self.sure1 = np.zeros(lanes << SLOTS, np.uint8), np.zeros(lanes << SLOTS, np.uint8)
-        even = np.full(4, 1 << (BITS - 2), np.int32)
-        self.p2, self.p1, self.p0 = np.tile(even, (lanes * 4, 1)), np.tile(even, (lanes * 4, 1)), np.tile(even, (lanes, 1))
-        self.top, self.votes = np.zeros(lanes, np.uint16), np.zeros(lanes, np.int32)
-        self.done = np.full((lanes, 3), 1 << (BITS - 2), np.int32)
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def shrink(self, lanes: int) -> None:
-        """Keep the first lanes; the blocks of the others have ended."""
-        for k in ("lane", "base", "p0", "top", "votes", "done", "before1", "before2"):
-            setattr(self, k, getattr(self, k)[:lanes])
+        self.lanes = lanes
+        lane = np.arange(lanes)
+        self.base, self.states = lane << SLOTS, lane << 4
+        self.last2, self.last1 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)
+        self.top, self.votes = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
+        self.key1, self.key2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.counts = np.zeros(lanes << 6, np.int32)
+        # the events that each model has seen, by how sure it was; none right is likeliest at first
+        first = np.array([1, 1, 1, 4])
+        self.seen = [np.tile(first, (lanes, 4, 1)), np.tile(first, (lanes, 4, 1)), np.tile(first, (lanes, 1))]
+        self.done = np.ones((3, lanes), np.int64)
+        self._mix()
+
+    def _mix(self) -> None:
+        self.own = [(s << BITS) // s.sum(axis=-1, keepdims=True) for s in self.seen]
+        w2, w1, w0 = (self.done << 8) // self.done.sum(axis=0)
+        p2, p1, p0 = self.own
+        part1 = (p1 * w1[:, None, None] + (p0 * w0[:, None])[:, None, :])[:, None, :, :3]
+        mixed = (p2 * w2[:, None, None])[:, :, None, :3] + part1
+        share = _LEAST + ((mixed * ((1 << BITS) - 4 * _LEAST)) >> (8 + BITS))
+        cum = np.cumsum(share, axis=-1)
+        self.freq = ((cum[..., 0] << BITS) | (cum[..., 1] << 2 * BITS) | (cum[..., 2] << 3 * BITS) | (1 << 5 * BITS)).ravel().astype(np.uint64)
+
+    def renew(self) -> None:
+        """Probabilities and weights from the events counted since the last time."""
+        new = self.counts.reshape(self.lanes, 4, 4, 4)
+        two, one = new.sum(axis=2), new.sum(axis=1)
+        for k, n in enumerate((two, one, two.sum(axis=1))):
+            gain = (n * self.own[k]).reshape(self.lanes, -1).sum(axis=1)
+            self.done[k] = (self.done[k] + (gain >> 4)) >> 1
+            self.seen[k] += n
+        np.maximum(self.done, 1, out=self.done)
+        self.counts[:] = 0
+        self._mix()
 
     def predict(self) -> np.ndarray:
-        self.at1 = self.base + (((self.before1 * 40503) >> 5) & ((1 << SLOTS) - 1))
-        self.at2 = self.base + (((self.before1 * 40503 + self.before2 * 30011) >> 4) & ((1 << SLOTS) - 1))
-        self.guess = (self.last2[self.at2], self.last1[self.at1], self.top)
-        self.row2 = self.lane * 4 + self.sure2[self.at2]
-        self.row1 = self.lane * 4 + self.sure1[self.at1]
-        self.own = (self.p2[self.row2], self.p1[self.row1], self.p0)
-        d = self.done
-        weight = (d << 8) // d.sum(axis=1, keepdims=True)
-        mixed = (self.own[0] * weight[:, :1] + self.own[1] * weight[:, 1:2] + self.own[2] * weight[:, 2:]) >> 8
-        mixed = np.maximum(mixed, 8)
-        # the largest takes what rounding left or the least of 8 added
-        mixed[self.lane, mixed.argmax(axis=1)] += (1 << BITS) - mixed.sum(axis=1, dtype=np.int32)
-        return mixed
+        self.at1 = self.base + (self.key1 >> _SHIFT)
+        self.at2 = self.base + ((self.key1 + self.key2) >> _SHIFT)
+        e1, e2 = self.last1[self.at1], self.last2[self.at2]
+        self.sure1, self.sure2 = e1 & 3, e2 & 3
+        self.guess1, self.guess2 = e1 >> 2, e2 >> 2
+        self.state = self.states + ((self.sure2 << 2) | self.sure1)
+        return self.freq[self.state]
 
     def event(self, ids: np.ndarray) -> np.ndarray:
-        a, b, c = self.guess
-        return np.where(ids == a, 0, np.where(ids == b, 1, np.where(ids == c, 2, 3)))
+        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, np.where(ids == self.top, 2, 3)))
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        pick = np.zeros((len(ids), 4), np.int32)
-        pick[self.lane, event] = 1 << BITS
-        chance = np.stack([p[self.lane, event] for p in self.own], axis=1)
-        self.done = (self.done * 15 + chance + 8) >> 4
-        self.p2[self.row2] += (pick - self.own[0]) >> 4
-        self.p1[self.row1] += (pick - self.own[1]) >> 4
-        self.p0 = self.p0 + ((pick - self.p0) >> 5)
-        right2, right1 = ids == self.guess[0], ids == self.guess[1]
-        self.sure2[self.at2] = np.where(right2, np.minimum(self.sure2[self.at2] + 1, 3), 0)
-        self.sure1[self.at1] = np.where(right1, np.minimum(self.sure1[self.at1] + 1, 3), 0)
-        self.last2[self.at2] = ids
-        self.last1[self.at1] = ids
-        same = ids == self.top
-        lost = ~same & (self.votes <= 0)
-        self.votes = np.where(lost, 1, self.votes + np.where(same, 1, -1))
-        self.top = np.where(lost, ids, self.top)
-        self.before2, self.before1 = self.before1, ids.astype(np.int64)
-
-
-def _bounds(freq: np.ndarray, event: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cum = np.cumsum(freq, axis=1, dtype=np.int64)
-    size = freq[lane, event].astype(np.int64)
-    return (cum[lane, event] - size).astype(np.uint64), size.astype(np.uint64)
-
-
-def _ready(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose top word is settled or must be cut short, and the width of the latter."""
-    settled = ((low ^ (low + width)) >> _TOP) == 0
-    cut = ~settled & (width < _BOTTOM)
-    if cut.any():
-        width = np.where(cut, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)), width)
-    return settled | cut, width
+        self.counts[(self.state << 2) + event] += 1
+        entry = ids << 2
+        self.last2[self.at2] = entry | (_SURER[self.sure2] * (ids == self.guess2))
+        self.last1[self.at1] = entry | (_SURER[self.sure1] * (ids == self.guess1))
+        self.votes += np.where(ids == self.top, np.int32(1), np.int32(-1))
+        np.copyto(self.top, ids, where=self.votes < 0)
+        np.abs(self.votes, out=self.votes)
+        self.key2 = self.key1 * _HASH2
+        self.key1 = ids * _HASH1
+
+
+def _bounds(freq: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an event begins in the frequencies, and how many it has."""
+    here = freq >> (event * BITS).astype(np.uint64)
+    start = here & _FIELD
+    return start, ((here >> np.uint64(BITS)) - start) & _FIELD
+
+
+def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Lanes whose top word is settled or must be cut short."""
+    return ((low ^ (low + width)) < _TOP) | (width < _BOTTOM)
+
+
+def _shifted(low: np.ndarray, width: np.ndarray, step) -> None:
+    """step(lanes, their low) for each word that leaves, until no lane is ready."""
+    at = np.flatnonzero(_ready(low, width))
+    while len(at):
+        lo, wd = low[at], width[at]
+        cut = (lo ^ (lo + wd)) >= _TOP
+        wd = np.where(cut, (np.uint64(0) - lo) & (_BOTTOM - np.uint64(1)), wd)
+        step(at, lo)
+        lo, wd = lo << _WORD, wd << _WORD
+        low[at], width[at] = lo, wd
+        at = at[_ready(lo, wd)]
 
 
 def encoded(ids: np.ndarray) -> bytes:
     """The blocks of an array of ids."""
+    size = LANES * BLOCK
+    return b"".join(x for i in range(0, len(ids), size) for x in _encoded(ids[i : i + size]))
+
+
+def _encoded(ids: np.ndarray) -> list[bytes]:
     n = len(ids)
-    if not n:
-        return b""
-    ids = ids.astype(np.uint16)
     lanes = -(-n // BLOCK)
-    sizes = np.full(lanes, BLOCK)
-    sizes[-1] = n - (lanes - 1) * BLOCK
-    table = np.zeros((BLOCK, lanes), np.uint16)
-    whole = ids[: (lanes - 1) * BLOCK].reshape(lanes - 1, BLOCK)
-    table[:, : lanes - 1] = whole.T
-    table[: sizes[-1], lanes - 1] = ids[(lanes - 1) * BLOCK :]
+    steps = min(n, BLOCK)
+    table = np.zeros(lanes * steps, np.uint32)  # a short last block is filled up; its length tells
+    table[:n] = ids
+    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     mixer = Mixer(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    words = np.zeros((lanes, BLOCK + 8), np.uint16)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    words = np.zeros((lanes, 2 * BLOCK + 16), np.uint16)
     count = np.zeros(lanes, np.int64)
-    literal = np.zeros((lanes, BLOCK), bool)
-    for i in range(BLOCK):
-        live = lanes if i < sizes[-1] else lanes - 1
-        if live < len(mixer.lane):
-            mixer.shrink(live)
-        if not live:
-            break
-        now = table[i, :live]
+    literal = np.zeros((steps, lanes), bool)
+
+    def put(at: np.ndarray, lo: np.ndarray) -> None:
+        words[at, count[at]] = lo >> np.uint64(48)
+        count[at] += 1
+
+    for i in range(steps):
+        if i in RENEWALS:
+            mixer.renew()
+        now = table[i]
         freq = mixer.predict()
         event = mixer.event(now)
-        start, size = _bounds(freq, event, mixer.lane)
-        unit = width[:live] >> np.uint64(BITS)
-        lo, wd = low[:live] + start * unit, size * unit
-        while True:
-            out, wd = _ready(lo, wd)
-            at = np.flatnonzero(out)
-            if not len(at):
-                break
-            words[at, count[at]] = (lo[at] >> _TOP).astype(np.uint16)
-            count[at] += 1
-            lo[at] = (lo[at] << _WORD) & _MASK
-            wd[at] = wd[at] << _WORD
-        low[:live], width[:live] = lo, wd
-        literal[:live, i] = event == 3
+        start, part = _bounds(freq, event)
+        unit = width >> np.uint64(BITS)
+        low += start * unit
+        width = part * unit
+        if i % STRIDE == STRIDE - 1:
+            _shifted(low, width, put)
+        literal[i] = event == 3
         mixer.update(now, event)
-    for k in range(3):  # the rest of low
-        words[np.arange(lanes), count + k] = ((low >> np.uint64(32 - 16 * k)) & np.uint64(0xFFFF)).astype(np.uint16)
-    count += 3
+    for k in range(4):  # the rest of low
+        words[np.arange(lanes), count + k] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
+    count += 4
+    literal = np.ascontiguousarray(literal.T)
     out = []
     for j in range(lanes):
-        own = ids[j * BLOCK : j * BLOCK + sizes[j]]
-        raw = own[literal[j, : sizes[j]]]
+        own = ids[j * BLOCK : (j + 1) * BLOCK]
+        raw = own[literal[j, : len(own)]]
         out += [HEAD.pack(MAGIC, len(own), count[j], len(raw), zlib.crc32(own.astype("<u4").tobytes())), words[j, : count[j]].astype("<u2").tobytes(), raw.astype("<u2").tobytes()]
-    return b"".join(out)
+    return out
 
 
 def decoded(data: bytes) -> np.ndarray:
     """The ids of blocks in a row; raises ValueError where a block is damaged."""
-    at, heads, words, raws = 0, [], [], []
+    at, blocks = 0, []
     while at < len(data):
+        if at + HEAD.size > len(data):
+            raise ValueError("not a block of token ids")
         magic, n, w, r, crc = HEAD.unpack_from(data, at)
         at += HEAD.size
-        if magic != MAGIC:
+        if magic != MAGIC or n > BLOCK or r > n or w < 4 or at + 2 * (w + r) > len(data):
             raise ValueError("not a block of token ids")
-        words.append(np.frombuffer(data, "<u2", w, at))
-        raws.append(np.frombuffer(data, "<u2", r, at + 2 * w))
+        blocks.append((n, crc, np.frombuffer(data, "<u2", w, at), np.frombuffer(data, "<u2", r, at + 2 * w)))
         at += 2 * (w + r)
-        heads.append((n, crc))
-    lanes = len(heads)
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    sizes = np.array([h[0] for h in heads])
-    if (np.diff(sizes) > 0).any():
-        raise ValueError("only the last block of a segment may be short")
-    begin = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    code = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(np.uint64)
-    raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[:-1]
-    raw = np.concatenate([*raws, np.zeros(1, np.uint16)])
-    place = begin[:-1] + 3
-    value = (code[begin[:-1]] << np.uint64(32)) | (code[begin[:-1] + 1] << np.uint64(16)) | code[begin[:-1] + 2]
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    mixer, out = Mixer(lanes), np.zeros((int(sizes.max()), lanes), np.uint16)
-    for i in range(len(out)):
-        live = int((sizes > i).sum()) if i >= sizes[-1] else lanes
-        if live < len(mixer.lane):
-            mixer.shrink(live)
-            low, width, value, place, raw_at = low[:live], width[:live], value[:live], place[:live], raw_at[:live]
+    return np.concatenate([np.zeros(0, np.uint32), *(x for i in range(0, len(blocks), LANES) for x in _decoded(blocks[i : i + LANES], i))])
+
+
+def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
+    lanes = len(blocks)
+    begin = np.cumsum([0, *(len(b[2]) for b in blocks)])[:-1]
+    code = np.concatenate([*(b[2] for b in blocks), np.zeros(8, np.uint16)]).astype(np.uint64)
+    raw_at = np.cumsum([0, *(len(b[3]) for b in blocks)])[:-1]
+    raw = np.concatenate([*(b[3] for b in blocks), np.zeros(1, np.uint16)]).astype(np.uint32)
+    last_raw, last_code = len(raw) - 1, len(code) - 1
+    place = begin + 4
+    value = (code[begin] << np.uint64(48)) | (code[begin + 1] << np.uint64(32)) | (code[begin + 2] << np.uint64(16)) | code[begin + 3]
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    steps = max(b[0] for b in blocks)
+    mixer, out = Mixer(lanes), np.zeros((steps, lanes), np.uint32)
+
+    def take(at: np.ndarray, lo: np.ndarray) -> None:
+        value[at] = (value[at] << _WORD) | code[np.minimum(place[at], last_code)]
+        place[at] += 1
+
+    for i in range(steps):
+        if i in RENEWALS:
+            mixer.renew()
         freq = mixer.predict()
         unit = width >> np.uint64(BITS)
-        slot = np.minimum(((value - low) & _MASK) // unit, np.uint64((1 << BITS) - 1)).astype(np.int64)
-        cum = np.cumsum(freq, axis=1, dtype=np.int64)
-        event = (slot[:, None] >= cum[:, :3]).sum(axis=1)
-        start, size = _bounds(freq, event, mixer.lane)
-        low, width = low + start * unit, size * unit
-        a, b, c = mixer.guess
+        off = value - low
+        event = np.zeros(lanes, np.int64)
+        for k in (1, 2, 3):
+            event += off >= ((freq >> np.uint64(k * BITS)) & _FIELD) * unit
+        start, part = _bounds(freq, event)
+        low += start * unit
+        width = part * unit
         lit = event == 3
-        ids = np.where(event == 0, a, np.where(event == 1, b, np.where(lit, raw[np.minimum(raw_at, len(raw) - 1)], c)))
+        ids = np.where(event == 0, mixer.guess2, np.where(event == 1, mixer.guess1, np.where(lit, raw[np.minimum(raw_at, last_raw)], mixer.top)))
         raw_at = raw_at + lit
-        while True:
-            ready, width = _ready(low, width)
-            at_ = np.flatnonzero(ready)
-            if not len(at_):
-                break
-            low[at_] = (low[at_] << _WORD) & _MASK
-            width[at_] = width[at_] << _WORD
-            value[at_] = ((value[at_] << _WORD) & _MASK) | code[np.minimum(place[at_], len(code) - 1)]
-            place[at_] += 1
-        out[i, :live] = ids
+        if i % STRIDE == STRIDE - 1:
+            _shifted(low, width, take)
+        out[i] = ids
         mixer.update(ids, event)
+    out = np.ascontiguousarray(out.T)
     parts = []
-    for j, (n, crc) in enumerate(heads):
-        own = out[:n, j].astype(np.uint32)
+    for j, (n, crc, *_) in enumerate(blocks):
+        own = out[j, :n]
         if zlib.crc32(own.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {j} is damaged")
+            raise ValueError(f"block {first + j} is damaged")
         parts.append(own)
-    return np.concatenate(parts)
+    return parts
 
 
 def written(docs: DataFrame, vocabulary: str, end_id: int, shards: int) -> DataFrame:
     """The files as a table: (shard, segment, doc_ids, lengths, n_ids, payload), saved."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, segment = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, shard, segment = encoder_of(WordEncoder, vocabulary), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         names: list[pa.Array] = []
         lengths: list[np.ndarray] = []

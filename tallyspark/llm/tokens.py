@@ -7,13 +7,17 @@ are encoded, and the ids of the texts are put together from them with numpy.
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Above so many known pieces a worker forgets their ids and starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -27,8 +31,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, int] = {}
@@ -38,6 +40,12 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of pieces, and how many each has."""
+        ids = [x for i in range(0, len(new), 20_000) for x in self.whole(new[i : i + 20_000])]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum())), sizes
+
     def places(self, pieces: list[str]) -> np.ndarray:
         """Number of each piece in the table of known ones."""
         if len(self.known) > CACHE_PIECES:
@@ -46,11 +54,9 @@ class Encoder:
         if new:
             base = len(self.known)
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            for i in range(0, len(new), 20_000):
-                ids = self.whole(new[i : i + 20_000])
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                self.flat = np.concatenate([self.flat, np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))])
-                self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            flat, sizes = self.pieces(new)
+            self.flat = np.concatenate([self.flat, flat])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
 
     def gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +71,61 @@ class Encoder:
 class WordEncoder(Encoder):
     """For a vocabulary whose pre-tokenizer drops white space: pieces are the runs between it."""
 
+    #: A control character that is one token, put between pieces that are encoded together.
+    MARK, TOGETHER = "\x01", 200
+    #: Letters that are lower-cased one to one and composed already, then marks that are a token of their own.
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.model = self.tokenizer.model
+        self.words: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece of plain letters and marks: its word is looked up or merged by the model itself."""
+        if len(self.words) > CACHE_PIECES // 2:
+            self.words = {}
+        words, tails, plain, merge = self.words, self.tails, self.PLAIN.fullmatch, self.model.tokenize
+        own, other = [], []
+        for p in new:
+            m = plain(p)
+            if not m:
+                other.append(len(own))
+                own.append(None)
+                continue
+            w = m[1].lower()
+            ids = words.get(w)
+            if ids is None:
+                ids = words[w] = [t.id for t in merge(w if w.isascii() else w.translate(self.as_bytes))]
+            if m[2]:
+                tail = tails.get(m[2])
+                if tail is None:
+                    tail = self.whole([m[2]])[0]
+                    if len(tails) < 10_000:
+                        tails[m[2]] = tail
+                ids = ids + tail
+            own.append(ids)
+        for i, ids in zip(other, self.together([new[i] for i in other]), strict=True):
+            own[i] = ids
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
+
+    def together(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces that are encoded many at a time, with a mark between them."""
+        if any(self.MARK in p for p in pieces):
+            return self.whole(pieces)
+        mark, out = self.whole([self.MARK])[0][0], []
+        for ids in self.whole([f" {self.MARK} ".join([*pieces[i : i + self.TOGETHER], ""]) for i in range(0, len(pieces), self.TOGETHER)]):
+            at = 0
+            while at < len(ids):
+                end = ids.index(mark, at)
+                out.append(ids[at:end])
+                at = end + 1
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and where each text begins (one more at the end); null is empty."""
         parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_utf8()))
@@ -122,6 +183,16 @@ class SpacedEncoder(Encoder):
         return ids, np.concatenate([[0], np.cumsum(count)])
 
 
+_encoders: dict[tuple[type, str], Encoder] = {}
+
+
+def encoder_of(kind: type[Encoder], path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its pieces from task to task."""
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
+
+
 def with_end(ids: np.ndarray, start: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text followed by end_id."""
     docs = len(start) - 1
