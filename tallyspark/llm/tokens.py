@@ -29,6 +29,10 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """ids and offsets of batches. Strings of special tokens in a text are ordinary text."""
 
+    #: Letters that are lower-cased one to one and composed already, then marks that are a token of their own.
+    PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    LOWER = False
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,54 +40,15 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of pieces, and how many each has."""
-        ids = [x for i in range(0, len(new), 20_000) for x in self.whole(new[i : i + 20_000])]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum())), sizes
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Number of each piece in the table of known ones."""
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.flat, self.begin = {}, self.flat[:0], self.begin[:1]
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if new:
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            flat, sizes = self.pieces(new)
-            self.flat = np.concatenate([self.flat, flat])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
-
-    def gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after the other, and how many each has."""
-        size = self.begin[place + 1] - self.begin[place]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        at = np.arange(total) + np.repeat(self.begin[place] - (end - size), size)
-        return self.flat[at], size
-
-
-class WordEncoder(Encoder):
-    """For a vocabulary whose pre-tokenizer drops white space: pieces are the runs between it."""
-
-    #: A control character that is one token, put between pieces that are encoded together.
-    MARK, TOGETHER = "\x01", 200
-    #: Letters that are lower-cased one to one and composed already, then marks that are a token of their own.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-    def __init__(self, path: str):
-        super().__init__(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in [" ", *map(chr, range(0xC0, 0x100))]})
         self.model = self.tokenizer.model
         self.words: dict[str, list[int]] = {}
         self.tails: dict[str, list[int]] = {"": []}
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A piece of plain letters and marks: its word is looked up or merged by the model itself."""
         if len(self.words) > CACHE_PIECES // 2:
@@ -96,10 +61,10 @@ class WordEncoder(Encoder):
                 other.append(len(own))
                 own.append(None)
                 continue
-            w = m[1].lower()
+            w = m[1].lower() if self.LOWER else m[1]
             ids = words.get(w)
             if ids is None:
-                ids = words[w] = [t.id for t in merge(w if w.isascii() else w.translate(self.as_bytes))]
+                ids = words[w] = [t.id for t in merge(w.translate(self.as_bytes))]
             if m[2]:
                 tail = tails.get(m[2])
                 if tail is None:
@@ -113,6 +78,38 @@ class WordEncoder(Encoder):
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
 
+    def together(self, pieces: list[str]) -> list[list[int]]:
+        return [x for i in range(0, len(pieces), 20_000) for x in self.whole(pieces[i : i + 20_000])]
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Number of each of some distinct pieces in the table of known ones."""
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.flat, self.begin = {}, self.flat[:0], self.begin[:1]
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            base = len(self.known)
+            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            flat, sizes = self.pieces(new)
+            self.flat = np.concatenate([self.flat, flat])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and how many each has."""
+        size = self.begin[place + 1] - self.begin[place]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        at = np.arange(total) + np.repeat(self.begin[place] - (end - size), size)
+        return self.flat[at], size
+
+
+class WordEncoder(Encoder):
+    """For a vocabulary whose pre-tokenizer drops white space: pieces are the runs between it."""
+
+    #: A control character that is one token, put between pieces that are encoded together.
+    MARK, TOGETHER = "\x01", 200
+    LOWER = True
+
     def together(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces that are encoded many at a time, with a mark between them."""
         if any(self.MARK in p for p in pieces):
