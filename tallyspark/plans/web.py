@@ -1 +1,17 @@
-"""Queries."""
+"""Links of web pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyspark.catalogue import query
+from tallyspark.sources import table
+
+HREF = """href=["']([^"'#]+)"""
+
+
+@query("""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=["'']([^"''#]+)', 1))), ' ') AS links FROM pages""")
+def w_links(spark, d):
+    """The different targets of each page, without fragments."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))))
+    return table(spark, d, "pages").select("page_id", F.array_join(found, " ").alias("links"))
