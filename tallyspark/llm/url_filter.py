@@ -12,7 +12,8 @@ templates is built for each host:
   proportion z test against their parent) are merged into it;
 * a template is rejected when its purity, the share of blocked urls smoothed
   by its parent's, reaches a threshold; the parent of a host is a fixed prior
-  below it, so without labelled urls nothing is rejected.
+  below it. A branch without labelled urls of its own has that prior too,
+  whatever its siblings are, so without labelled urls nothing is rejected.
 
 Depth is bounded by DEPTH segments; deeper ones share the last template.
 Urls that are null or lack ``://`` have an empty host and path, fit no rule
@@ -115,6 +116,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def _purity(blocked: Column, labelled: Column, parent: Column) -> Column:
-    """Blocked share smoothed by the parent's; the parent's itself where the difference is not significant."""
+    """Blocked share smoothed by the parent's; the parent's itself where the difference is not
+    significant, and PRIOR without labels, as the parent's then comes from other branches only."""
     z = F.abs(blocked - labelled * parent) / F.sqrt(F.greatest(labelled * parent * (1 - parent), F.lit(0.25)))
-    return F.when(z < Z_SAME, parent).otherwise((blocked + SMOOTHING * parent) / (labelled + SMOOTHING))
+    return F.when(labelled == 0, PRIOR).when(z < Z_SAME, parent).otherwise((blocked + SMOOTHING * parent) / (labelled + SMOOTHING))

@@ -49,3 +49,11 @@ def test_repeated_rows_many_children_and_empty_tables(spark, monkeypatch):
     assert {i: (r.verdict, r.template) for i, r in got.items()} == {i: (r.verdict, r.template) for i, r in want.items()}
     assert {r.template for i, r in got.items() if i < 60} == {"/*/z"}
     assert judged(spark, []) == {}
+
+
+def test_branches_without_labels_are_not_blocked_by_their_siblings(spark):
+    for n in (3, 4, 400):
+        urls = [f"http://x.net/{a}/{i}" for a in ("es", "fr") for i in range(n)] + [f"http://x.net/{a}/{i}" for a in ("en", "de") for i in range(20)] + ["http://x.net/"]
+        got = judged(spark, urls)
+        assert {got[i].verdict for i in range(2 * n)} == {"block"}
+        assert {got[i].verdict for i in range(2 * n, len(urls))} == {"allow"}
