@@ -3,19 +3,25 @@
 Rules (host and path) decide a url whose host is the rule's or a subdomain of
 it and whose path starts with the rule's; the longest rule wins. What the
 rules decide also serves as labels. For the other urls a tree of path
-templates is built for each host:
+templates is built for each host from its distinct paths, so repeated rows
+change nothing:
 
 * a segment of digits, of hex digits or with digits in it is variable and
   becomes a wildcard that keeps its ending (``5155`` -> ``*``, ``7.html`` ->
-  ``*.html``), and so does a segment below a node with many rare children;
-* sibling branches whose labelled shares don't differ significantly (two-
-  proportion z test against their parent) are merged into it;
-* a template is rejected when its purity, the share of blocked urls smoothed
-  by its parent's, reaches a threshold; the parent of a host is a fixed prior
-  below it. A branch without labelled urls of its own has that prior too,
-  whatever its siblings are, so without labelled urls nothing is rejected.
-
-Depth is bounded by DEPTH segments; deeper ones share the last template.
+  ``*.html``); empty segments are left out;
+* a node splits where its paths first differ. Of more than MANY_CHILDREN
+  children those with less than one in MANY_CHILDREN of its paths become one
+  wildcard, except where the labels of one differ significantly from those of
+  the other rare ones. That depends on shares alone, not on how many paths
+  there are; the tree goes down until no node splits;
+* the labelled branches of a node are pooled, the most alike first, while two
+  of them don't differ significantly (two-proportion z test). Where all are
+  alike they keep their parent's purity; else a pool's purity is its own
+  blocked share, smoothed by a fixed prior. A branch without labelled urls of
+  its own has that prior, whatever its siblings are, so without labelled urls
+  nothing is rejected;
+* a template is rejected when its purity reaches a threshold.
+
 Urls that are null or lack ``://`` have an empty host and path, fit no rule
 and are judged by the template of the empty host. Repeated rows each get a
 verdict.
@@ -26,8 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 3
-#: A node with more children than this, none of them with a tenth of its rows on average, has variable children.
+from tallyspark.llm.tables import saved
+
+#: Of more children than this the ones that hold less than one in so many of the node's paths are rare.
 MANY_CHILDREN = 16
 SMOOTHING = 8.0
 THRESHOLD = 0.5
@@ -59,52 +66,114 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return out
 
 
-def _segment(path: Column, i: int) -> Column:
-    """Segment i of a path, variable ones as wildcards; null beyond its end."""
-    part = F.try_element_at(F.split(F.substring(path, 2, 1 << 20), "/"), F.lit(i))
-    shaped = F.regexp_replace(part, r"^[^.]*[0-9][^.]*", "*")
-    return F.when(F.length(part) > 0, shaped)
-
-
-def templates(judged: DataFrame) -> DataFrame:
-    """(host, s1, .., label) rows with counts, wildcards below nodes with many rare children."""
-    segments = [f"s{i}" for i in range(1, DEPTH + 1)]
-    counts = judged.groupBy("host", *segments).agg(F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    return counts
+def _shape(path: Column) -> Column:
+    """The segments of a path, variable ones as wildcards."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.regexp_replace(x, r"^[^.]*[0-9][^.]*", "*"))
+
+
+def _under(above: Column, below: Column) -> Column:
+    """A template with more segments below it."""
+    return F.concat(above, F.when(F.size(below) > 0, F.concat(F.lit("/"), F.array_join(below, "/"))).otherwise(""))
+
+
+def _z(blocked: Column, labelled: Column, blocked2: Column, labelled2: Column) -> Column:
+    """How many standard errors two shares differ by; 0 where either has no labels or all labels agree."""
+    p = F.try_divide(blocked + blocked2, labelled + labelled2)
+    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), labelled2)))
+    return F.coalesce(F.try_divide(F.abs(F.try_divide(blocked, labelled) - F.try_divide(blocked2, labelled2)), error), F.lit(0.0))
+
+
+def pooled(shares: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(blocked, labelled) of each branch's pool, for branches (blocked, labelled) in ascending order of their shares."""
+    pools = [[b, n, 1] for b, n in shares]
+
+    def z(x: list[int], y: list[int]) -> float:
+        p = (x[0] + y[0]) / (x[1] + y[1])
+        error = (p * (1 - p) * (1 / x[1] + 1 / y[1])) ** 0.5
+        return abs(x[0] / x[1] - y[0] / y[1]) / error if error else 0.0
+
+    apart = [z(x, y) for x, y in zip(pools, pools[1:])]
+    while apart and min(apart) < Z_SAME:
+        i = apart.index(min(apart))
+        pools[i : i + 2] = [[u + v for u, v in zip(pools[i], pools[i + 1], strict=True)]]
+        del apart[i]
+        for j in (i - 1, i):
+            if 0 <= j < len(apart):
+                apart[j] = z(pools[j], pools[j + 1])
+    return [(b, n) for b, n, k in pools for _ in range(k)]
+
+
+def _pools(branches: list) -> list[tuple[float, int, int, int]]:
+    """(share, blocked and labelled of its pool, number of pools) of each branch (share, b, l)."""
+    ordered = sorted((r["share"], r["b"], r["l"]) for r in branches)
+    pools = pooled([(b, n) for _, b, n in ordered])
+    count = 1 + sum(x != y for x, y in zip(pools, pools[1:]))
+    return [(x[0], b, n, count) for x, (b, n) in zip(ordered, pools, strict=True)]
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """(host, shape, template, purity) of every host and shape among (host, shape, n, l, b)."""
+    node = ["host", "node"]
+    pools_of = F.udf(_pools, "array<struct<share:double,b:long,l:long,pools:int>>")
+    root = paths.groupBy("host").agg(F.sum("l").alias("_l"), F.sum("b").alias("_b"))
+    root = root.select(F.col("host").alias("_host"), _purity(F.col("_b"), F.col("_l")).alias("purity"))
+    open_ = paths.withColumn("node", F.lit("")).withColumn("rest", F.col("shape")).join(root, F.col("host") == F.col("_host")).drop("_host")
+    done = None
+    while True:
+        # how far the paths of a node agree; one that has a single path ends as it is
+        spans = open_.groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        agree = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
+        spans = spans.select(*[F.col(c).alias(f"_{c}") for c in node], agree.alias("agree"))
+        here = open_.join(spans, [F.col(c) == F.col(f"_{c}") for c in node]).drop("_host", "_node")
+        here = saved(here, "url-nodes")
+        whole = here.filter("agree < 0").select("host", "shape", _under(F.col("node"), F.col("rest")).alias("template"), "purity")
+        done = whole if done is None else done.unionByName(whole)
+        split = here.filter("agree >= 0")
+        if split.isEmpty():
+            return done
+        split = split.withColumn("node", _under(F.col("node"), F.slice("rest", F.lit(1), F.col("agree"))))
+        split = split.withColumn("child", F.try_element_at("rest", F.col("agree") + 1)).withColumn("rest", F.slice("rest", F.col("agree") + 2, F.greatest(F.size("rest"), F.lit(1))))
+
+        # rare children become one wildcard, but for those whose labels stand out
+        children = saved(split.groupBy(*node, "child").agg(*[F.sum(c).alias(c) for c in ("n", "l", "b")], F.first("purity").alias("purity")), "url-children")
+        total = children.groupBy(*node).agg(F.count("child").alias("kinds"), F.sum("n").alias("all"))
+        children = children.join(total, node)
+        children = children.withColumn("rare", F.col("child").isNotNull() & (F.col("kinds") > MANY_CHILDREN) & (F.col("n") * MANY_CHILDREN < F.col("all")))
+        rare = children.filter("rare").groupBy(*node).agg(F.sum("l").alias("rare_l"), F.sum("b").alias("rare_b"))
+        children = children.join(rare, node, "left")
+        alike = _z(F.col("b"), F.col("l"), F.col("rare_b") - F.col("b"), F.col("rare_l") - F.col("l")) < Z_SAME
+        children = children.select(*node, "child", F.when(F.col("rare") & alike, F.lit("*")).otherwise(F.col("child")).alias("name"), "l", "b", "purity")
+
+        # labelled branches of the same share are pooled first, so a list holds each share once
+        branches = children.groupBy(*node, "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.first("purity").alias("above"))
+        branches = branches.withColumn("share", F.try_divide("b", "l"))
+        shares = branches.filter("l > 0").groupBy(*node, "share").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+        pools = shares.groupBy(*node).agg(F.collect_list(F.struct("share", "b", "l")).alias("all")).select(*node, F.explode(pools_of("all")).alias("pool"))
+        pools = pools.select(*node, "pool.share", F.col("pool.b").alias("pool_b"), F.col("pool.l").alias("pool_l"), "pool.pools")
+        branches = branches.join(pools, [*node, "share"], "left")
+        own = F.when(F.col("l") == 0, PRIOR).when(F.col("pools") == 1, F.col("above")).otherwise(_purity(F.col("pool_b"), F.col("pool_l")))
+        branches = branches.select(*[F.col(c).alias(f"_{c}") for c in (*node, "name")], own.alias("purity"))
+        named = children.drop("purity").join(branches, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*node, "name")])
+        named = saved(named.select(*[F.col(c).alias(f"_{c}") for c in (*node, "child")], "name", "purity"), "url-branches")
+
+        split = split.drop("purity").join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*node, "child")])
+        done = done.unionByName(split.filter("child IS NULL").select("host", "shape", F.col("node").alias("template"), "purity"))
+        open_ = split.filter("child IS NOT NULL").select("host", "shape", "n", "l", "b", F.concat_ws("/", "node", "name").alias("node"), "rest", "purity")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page."""
-    segments = [f"s{i}" for i in range(1, DEPTH + 1)]
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), *[_segment(F.col("path"), i + 1).alias(s) for i, s in enumerate(segments)])
-    leaves = templates(rows)
-
-    # from the top down: a node's children become one wildcard where they are many and rare
-    raw = leaves.select("host", *segments, *[F.col(s).alias(f"t{s[1:]}") for s in segments], "n", "labelled", "blocked")
-    for i in range(1, DEPTH + 1):
-        above = ["host", *[f"t{j}" for j in range(1, i)]]
-        node = raw.groupBy(*above).agg(F.approx_count_distinct(f"t{i}").alias("_children"), F.sum("n").alias("_rows"))
-        wide = node.filter((F.col("_children") > MANY_CHILDREN) & (F.col("_rows") < 10 * F.col("_children"))).select(*[F.col(c).alias(f"_{c}") for c in above])
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in above]
-        raw = raw.join(wide, on=same, how="left").withColumn(f"t{i}", F.when(F.col("_host").isNotNull() & F.col(f"t{i}").isNotNull(), F.lit("*")).otherwise(F.col(f"t{i}"))).drop(*[f"_{c}" for c in above])
-
-    # purity from the host down, a branch that looks like its parent takes the parent's
-    level = raw.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    level = level.select("host", _purity(F.col("b"), F.col("l"), F.lit(PRIOR)).alias("purity"))
-    for i in range(1, DEPTH + 1):
-        above, here = ["host", *[f"t{j}" for j in range(1, i)]], ["host", *[f"t{j}" for j in range(1, i + 1)]]
-        branch = raw.groupBy(*here).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        parent = level.select(*[F.col(c).alias(f"_{c}") for c in above], F.col("purity").alias("_purity"))
-        level = branch.join(parent, on=[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in above], how="left")
-        level = level.select(*here, _purity(F.col("b"), F.col("l"), F.col("_purity")).alias("purity"))
-    names = [f"t{i}" for i in range(1, DEPTH + 1)]
-    tree = raw.select("host", *segments, *names).join(level.select(*[F.col(c).alias(f"_{c}") for c in ["host", *names]], "purity"), on=[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ["host", *names]], how="left")
-    tree = tree.select(F.col("host").alias("_h"), *[F.col(s).alias(f"_{s}") for s in segments], F.concat(F.lit("/"), F.concat_ws("/", *names)).alias("template"), "purity")
-
-    same = [F.col("host") == F.col("_h"), *[F.col(s).eqNullSafe(F.col(f"_{s}")) for s in segments]]
+    rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), _shape(F.col("path")).alias("shape"))
+    paths = rows.select("host", "path", "verdict", "shape").dropDuplicates(["host", "path"])
+    paths = paths.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("verdict").alias("l"), F.count_if(F.col("verdict") == "block").alias("b"))
+    tree = templates(saved(paths, "url-paths"))
+    tree = tree.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "purity")
+
+    same = [F.col("host") == F.col("_h"), F.col("shape") == F.col("_s")]
     if tree.count() <= BROADCAST_ROWS:
         out = rows.join(F.broadcast(tree), on=same, how="left")
     else:
@@ -115,8 +184,6 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "template", "purity")
 
 
-def _purity(blocked: Column, labelled: Column, parent: Column) -> Column:
-    """Blocked share smoothed by the parent's; the parent's itself where the difference is not
-    significant, and PRIOR without labels, as the parent's then comes from other branches only."""
-    z = F.abs(blocked - labelled * parent) / F.sqrt(F.greatest(labelled * parent * (1 - parent), F.lit(0.25)))
-    return F.when(labelled == 0, PRIOR).when(z < Z_SAME, parent).otherwise((blocked + SMOOTHING * parent) / (labelled + SMOOTHING))
+def _purity(blocked: Column, labelled: Column) -> Column:
+    """Blocked share smoothed by the prior."""
+    return (blocked + SMOOTHING * PRIOR) / (labelled + SMOOTHING)

@@ -57,3 +57,36 @@ def test_branches_without_labels_are_not_blocked_by_their_siblings(spark):
         got = judged(spark, urls)
         assert {got[i].verdict for i in range(2 * n)} == {"block"}
         assert {got[i].verdict for i in range(2 * n, len(urls))} == {"allow"}
+
+
+def test_alike_siblings_are_pooled_and_others_are_not():
+    assert url_filter.pooled([(0, 9), (9, 10), (10, 10)]) == [(0, 9), (19, 20), (19, 20)]
+    assert url_filter.pooled([(1, 4), (2, 4)]) == [(3, 8), (3, 8)]
+    assert url_filter.pooled([]) == []
+
+
+def test_siblings_share_evidence_apart_from_their_parent(spark):
+    """Two sections with few blocked pages each are rejected together beside a clean one."""
+    rules = [("block", "h.org/p/1"), ("block", "h.org/q/1"), ("allow", "h.org/good/1")]
+    urls = [f"http://h.org/{s}/{'1x' if i < 3 else '2x'}{'abcdefgh'[i]}" for s in "pq" for i in range(4)] + [f"http://h.org/good/{i}" for i in range(100, 140)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judged(pages, rules).collect()}
+    assert got[3].rule is None and got[3].verdict == got[7].verdict == "block"
+    assert got[3].purity == got[7].purity == (6 + 2) / (6 + 8) and got[8].purity == 2 / 48
+
+
+def test_templates_do_not_move_with_the_number_of_rows(spark):
+    slugs = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(60)]
+    few = [f"http://y.org/{s}/z/one/two/{t}" for s in slugs for t in ("v", "w")]
+    more = few * 10 + [f"http://y.org/{s}/z/one/two/{t}/{i}" for s in slugs for t in ("v", "w") for i in range(9)]
+    for urls in (few, few * 10, more):
+        got = judged(spark, urls)
+        assert {got[i].template for i in range(len(few))} == {"/*/z/one/two/v", "/*/z/one/two/w"}
+
+
+def test_segments_beyond_the_third_count(spark):
+    rules = [("block", "h.org/a/b/c/bad/1"), ("allow", "h.org/a/b/c/good/1")]
+    urls = [f"http://h.org/a/b/c/{s}/{i}" for s in ("bad", "good") for i in (*range(10, 20), *range(20, 25))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judged(pages, rules).collect()}
+    assert {got[i].verdict for i in range(15)} == {"block"} and {got[i].verdict for i in range(15, 30)} == {"allow"}
