@@ -5,12 +5,12 @@ and a CRC-32 of its ids. Three models predict the next id: the id that last
 followed the two ids before it (order 2), the one before it (order 1), and a
 running majority of the block (order 0). What happens at a place is one of
 four events: the order-2 prediction is right, else the order-1 one, else the
-order-0 one, else none, and the id follows literally. Each model counts the
-four events, those of orders 2 and 1 by how often that context was right
-lately. At the places RENEWALS of a block the counts become probabilities,
-mixed with weights that follow how well each model has done; the mixture
-drives a carry-less range coder. All arithmetic is on integers, so reading
-repeats writing exactly.
+order-0 one, else none, and the id follows literally. Each model keeps
+probabilities of the four events, those of orders 2 and 1 by how often that
+context was right lately. They adapt at every id, as do the weights they are
+mixed with, which follow how well each model has done; the mixture drives a
+carry-less range coder. All arithmetic is on integers, so reading repeats
+writing exactly.
 
 LANES blocks of a segment are coded side by side, one numpy lane for each.
 
@@ -40,16 +40,14 @@ from tallyspark.llm.tables import saved
 from tallyspark.llm.tokens import WordEncoder, encoder_of, with_end
 
 BLOCK = 2048
-MAGIC = 0x31425443
+MAGIC = 0x31425444
 HEAD = struct.Struct("<5I")
 #: Ids buffered for a segment, which bounds memory and gives the lanes.
 SEGMENT_IDS = 4_000_000
 #: Blocks coded side by side; more fill the cache with their tables.
-LANES = 2048
-SLOTS = 10
+LANES = 1024
+SLOTS = 11
 BITS = 12
-#: Places of a block at which its counts become probabilities.
-RENEWALS = frozenset((16, 32, 64, 128, 192, *range(256, BLOCK, 128)))
 #: Ids coded between two looks at the range: 2**40 outlasts four events of the least probability.
 STRIDE = 4
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
@@ -59,6 +57,29 @@ _SURER = np.array([1, 2, 3, 3], np.uint32)
 #: The two multipliers of the hash of a context.
 _HASH1, _HASH2 = np.uint32(2654435761), np.uint32(2246822519)
 _SHIFT = np.uint32(32 - SLOTS)
+#: Cumulative probabilities of the first three events side by side, FIELD bits each: of FINE bits, with room for a weight of 8.
+FIELD, FINE, WEIGHT = 21, 13, 8
+
+
+def _fields(*values: int) -> np.uint64:
+    return np.uint64(sum(v << (FIELD * k) for k, v in enumerate(values)))
+
+
+_ONE = (1 << FINE) - 1
+_FINE = np.uint64(_ONE)
+#: How fast the probabilities adapt: those of contexts, and those of order 0.
+_FAST, _SLOW = np.uint64(4), np.uint64(5)
+_KEPT_FAST, _KEPT_SLOW = _fields(*[_ONE >> 4] * 3), _fields(*[_ONE >> 5] * 3)
+#: What an event adds to the probabilities: to those at or above it.
+_TO_FAST = np.array([_fields(*[(_ONE >> 4) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
+_TO_SLOW = np.array([_fields(*[(_ONE >> 5) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
+#: Where an event's probabilities begin and end among the fields; before the first there is 0.
+_BEGIN, _BEGUN = np.array([0, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, _ONE, _ONE, _ONE], np.uint64)
+_END = np.array([0, FIELD, 2 * FIELD, 3 * FIELD], np.uint64)
+#: From the mixture to frequencies of BITS bits of which each event has _LEAST at least.
+_COARSE, _MIXED = np.uint64(FIELD - BITS), _fields(*[(1 << BITS) - 1] * 3)
+_CUT, _CUTS, _FLOOR = np.uint64(7), _fields(*[((1 << BITS) - 1) >> 7] * 3), _fields(_LEAST, 2 * _LEAST, 3 * _LEAST)
+_FREQ = np.uint64((1 << BITS) - 1)
 
 
 class Mixer:
@@ -68,40 +89,16 @@ class Mixer:
     Frequencies are cumulative, four fields of BITS bits and the whole above them."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
         lane = np.arange(lanes)
-        self.base, self.states = lane << SLOTS, lane << 4
+        self.base, self.states = lane << SLOTS, lane << 2
         self.last2, self.last1 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)
         self.top, self.votes = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
         self.key1, self.key2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.counts = np.zeros(lanes << 6, np.int32)
-        # the events that each model has seen, by how sure it was; none right is likeliest at first
-        first = np.array([1, 1, 1, 4])
-        self.seen = [np.tile(first, (lanes, 4, 1)), np.tile(first, (lanes, 4, 1)), np.tile(first, (lanes, 1))]
-        self.done = np.ones((3, lanes), np.int64)
-        self._mix()
-
-    def _mix(self) -> None:
-        self.own = [(s << BITS) // s.sum(axis=-1, keepdims=True) for s in self.seen]
-        w2, w1, w0 = (self.done << 8) // self.done.sum(axis=0)
-        p2, p1, p0 = self.own
-        part1 = (p1 * w1[:, None, None] + (p0 * w0[:, None])[:, None, :])[:, None, :, :3]
-        mixed = (p2 * w2[:, None, None])[:, :, None, :3] + part1
-        share = _LEAST + ((mixed * ((1 << BITS) - 4 * _LEAST)) >> (8 + BITS))
-        cum = np.cumsum(share, axis=-1)
-        self.freq = ((cum[..., 0] << BITS) | (cum[..., 1] << 2 * BITS) | (cum[..., 2] << 3 * BITS) | (1 << 5 * BITS)).ravel().astype(np.uint64)
-
-    def renew(self) -> None:
-        """Probabilities and weights from the events counted since the last time."""
-        new = self.counts.reshape(self.lanes, 4, 4, 4)
-        two, one = new.sum(axis=2), new.sum(axis=1)
-        for k, n in enumerate((two, one, two.sum(axis=1))):
-            gain = (n * self.own[k]).reshape(self.lanes, -1).sum(axis=1)
-            self.done[k] = (self.done[k] + (gain >> 4)) >> 1
-            self.seen[k] += n
-        np.maximum(self.done, 1, out=self.done)
-        self.counts[:] = 0
-        self._mix()
+        # none right is likeliest at first
+        first = _fields(*[_ONE * k // 7 for k in (1, 2, 3)])
+        self.p2, self.p1 = np.full(lanes << 2, first), np.full(lanes << 2, first)
+        self.own = np.full((3, lanes), first)
+        self.done = np.full((3, lanes), 1 << (FINE - 2), np.uint32)
 
     def predict(self) -> np.ndarray:
         self.at1 = self.base + (self.key1 >> _SHIFT)
@@ -109,14 +106,24 @@ class Mixer:
         e1, e2 = self.last1[self.at1], self.last2[self.at2]
         self.sure1, self.sure2 = e1 & 3, e2 & 3
         self.guess1, self.guess2 = e1 >> 2, e2 >> 2
-        self.state = self.states + ((self.sure2 << 2) | self.sure1)
-        return self.freq[self.state]
+        self.row2, self.row1 = self.states + self.sure2, self.states + self.sure1
+        self.own[0], self.own[1] = self.p2[self.row2], self.p1[self.row1]
+        weight = (self.done << WEIGHT) // (self.done[0] + self.done[1] + self.done[2])
+        mixed = (((self.own * weight).sum(axis=0)) >> _COARSE) & _MIXED
+        mixed += _FLOOR - ((mixed >> _CUT) & _CUTS)
+        one, two, three = mixed & _FREQ, (mixed >> np.uint64(FIELD)) & _FREQ, mixed >> np.uint64(2 * FIELD)
+        return (one << np.uint64(BITS)) | (two << np.uint64(2 * BITS)) | (three << np.uint64(3 * BITS)) | np.uint64(1 << 5 * BITS)
 
     def event(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, np.where(ids == self.top, 2, 3)))
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        self.counts[(self.state << 2) + event] += 1
+        begin = (self.own >> _BEGIN[event]) & _BEGUN[event]
+        end = np.where(event == 3, _FINE, (self.own >> _END[event]) & _FINE)
+        self.done = (self.done * np.uint32(15) + (end - begin).astype(np.uint32) + np.uint32(8)) >> np.uint32(4)
+        fast = self.own[:2] - ((self.own[:2] >> _FAST) & _KEPT_FAST) + _TO_FAST[event]
+        self.p2[self.row2], self.p1[self.row1] = fast
+        self.own[2] += _TO_SLOW[event] - ((self.own[2] >> _SLOW) & _KEPT_SLOW)
         entry = ids << 2
         self.last2[self.at2] = entry | (_SURER[self.sure2] * (ids == self.guess2))
         self.last1[self.at1] = entry | (_SURER[self.sure1] * (ids == self.guess1))
@@ -176,8 +183,6 @@ def _encoded(ids: np.ndarray) -> list[bytes]:
         count[at] += 1
 
     for i in range(steps):
-        if i in RENEWALS:
-            mixer.renew()
         now = table[i]
         freq = mixer.predict()
         event = mixer.event(now)
@@ -234,8 +239,6 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
         place[at] += 1
 
     for i in range(steps):
-        if i in RENEWALS:
-            mixer.renew()
         freq = mixer.predict()
         unit = width >> np.uint64(BITS)
         off = value - low

@@ -76,3 +76,24 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "c"), (1, None)], "doc_id long, text string")
     rows = token_files.read(token_files.written(df, WORDS, 2, 2)).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 2), (1, 2, 1), (3, 3, 3), (3, 6, 3)]
+
+
+def test_the_model_adapts_at_every_id():
+    mixer = token_files.Mixer(1)
+    ids, freqs = np.array([7], np.uint32), []
+    for _ in range(12):
+        freqs.append(int(mixer.predict()[0]))
+        mixer.update(ids, mixer.event(ids))
+    assert len(set(freqs[3:])) == 9
+    assert len(mixer.last1) == len(mixer.last2) == token_files.BLOCK
+
+
+def test_the_least_frequency_holds_after_long_runs():
+    mixer = token_files.Mixer(1)
+    for i in range(3000):
+        freq = mixer.predict()
+        for e in range(4):
+            start, part = token_files._bounds(freq, np.array([e]))
+            assert part[0] >= token_files._LEAST and start[0] + part[0] <= 1 << token_files.BITS
+        ids = np.array([7 if i < 2000 else i], np.uint32)
+        mixer.update(ids, mixer.event(ids))
