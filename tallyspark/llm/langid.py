@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.words import portions, split
@@ -31,8 +31,10 @@ ORDER = 4
 UNDETERMINED = "und"
 #: Words of letters: a-z after folding A-Z, and everything beyond ASCII.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Above so many known words a worker forgets their code lengths and starts anew.
+#: Above so many known words (of four languages) a worker forgets their code lengths and starts anew.
 CACHE_WORDS = 400_000
+#: Languages that share one table of n-grams, so that the model grows with their number and not its square.
+GROUP = 4
 
 
 def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -93,20 +95,25 @@ class ByteTrees:
         return np.diff(sums, axis=0, prepend=0)
 
 
-def trees(languages: list[str], rows: list[tuple[int, int, int, int]]) -> ByteTrees:
-    """Trees from (language number, order, n-gram key, count)."""
-    table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+def trees(languages: list[str], rows: list[tuple[int, ...]] | np.ndarray) -> ByteTrees:
+    """Trees from (language number, order, n-gram key, count) or, where not all n-grams are given,
+    those with the total and the distinct symbols of the whole context behind them."""
+    table = np.asarray(rows, dtype=np.int64)
+    table = table.reshape(-1, table.shape[1] if table.ndim == 2 else 4)
     model = ByteTrees(languages, [], [], [], [])
     for k in range(ORDER + 1):
-        lang, _, key, n = table[table[:, 1] == k].T
+        lang, _, key, n, *whole = table[table[:, 1] == k].T
         grams, at = np.unique(key, return_inverse=True)
         count = np.zeros((len(grams), len(languages)))
         np.add.at(count, (at, lang), n)
         contexts, of = np.unique(grams >> 8, return_inverse=True)
         total = np.zeros((len(contexts), len(languages)))
         kinds = np.zeros_like(total)
-        np.add.at(total, of, count)
-        np.add.at(kinds, of, count > 0)
+        if whole:
+            total[of[at], lang], kinds[of[at], lang] = whole
+        else:
+            np.add.at(total, of, count)
+            np.add.at(kinds, of, count > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             escapes = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
             seen = -np.log2(count / (total + kinds)[of])
@@ -121,22 +128,35 @@ def trees(languages: list[str], rows: list[tuple[int, int, int, int]]) -> ByteTr
     return model
 
 
-def fit(rows: DataFrame, max_documents: int = 600, max_grams: int = 400_000, max_languages: int = 64) -> ByteTrees | None:
-    """Trees from the labelled rows (doc_id, text, lang).
+@dataclass
+class Forest:
+    """Trees of groups of languages."""
+
+    languages: list[str]
+    groups: list[ByteTrees]
+
+    def code_lengths(self, words: list[bytes]) -> np.ndarray:
+        """Bits of each word (with its closing space) in each language."""
+        return np.concatenate([g.code_lengths(words) for g in self.groups], axis=1)
+
+
+def fit(rows: DataFrame, max_documents: int = 600, max_grams: int = 100_000) -> Forest | None:
+    """Trees of every language among the labelled rows (doc_id, text, lang).
 
     They are learnt from a bounded sample of the labelled rows: about
-    max_documents a language, by a hash of doc_id. The most frequent
-    max_grams n-grams are kept, which bounds what is broadcast.
+    max_documents a language, by a hash of doc_id. Each language keeps its own
+    most frequent max_grams n-grams, which bounds what is broadcast by the
+    number of languages; escapes are those of the contexts before that.
     """
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(known)
     if not languages:
         return None
     number = {x: i for i, x in enumerate(languages)}
-    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, max_documents / known[x]))])
+    share = rows.sparkSession.createDataFrame([(x, min(1.0, max_documents / known[x])) for x in languages], "lang string, _share double")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(F.col("lang").isin(languages) & (unit < F.try_element_at(share, F.col("lang"))))
+    sample = rows.join(F.broadcast(share), "lang").filter(unit < F.col("_share")).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -154,15 +174,24 @@ def fit(rows: DataFrame, max_documents: int = 600, max_grams: int = 400_000, max
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(np.full(len(total), k)), pa.array(both[1]), pa.array(total)], ["lang", "order", "gram", "n"])
 
     grams = sample.mapInArrow(count, "lang long, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    kept = grams.orderBy(F.desc("n"), "order", "gram", "lang").limit(max_grams).toArrow()
-    return trees(languages, list(zip(*(kept.column(c).to_pylist() for c in ("lang", "order", "gram", "n")), strict=True)))
+    context = Window.partitionBy("lang", "order", F.shiftright("gram", 8))
+    grams = grams.select("*", F.sum("n").over(context).alias("total"), F.count("n").over(context).alias("kinds"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "order", "gram"))
+    kept = grams.withColumn("_rank", rank).filter(F.col("_rank") <= max_grams).drop("_rank").toArrow()
+    table = np.stack([kept.column(c).to_numpy() for c in ("lang", "order", "gram", "n", "total", "kinds")], axis=1)
+    groups = []
+    for first in range(0, len(languages), GROUP):
+        own = table[(table[:, 0] >= first) & (table[:, 0] < first + GROUP)]
+        own[:, 0] -= first
+        groups.append(trees(languages[first : first + GROUP], own))
+    return Forest(languages, groups)
 
 
 def has_letter(word: bytes) -> bool:
     return word.isascii() or any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
-def predict(docs: DataFrame, model: ByteTrees | None, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Forest | None, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (doc_id), lang_pred and score: the share of the best language when
     each language counts as two to the power of minus its bits over the root of the words."""
     keep = keep or ["doc_id"]
@@ -179,7 +208,7 @@ def predict(docs: DataFrame, model: ByteTrees | None, keep: list[str] | None = N
         bits, letter = np.zeros((0, len(trees_.languages))), np.zeros(0, bool)
         for batch in portions(batches, "_text"):
             words = split(batch.column("_text"), LETTERS)
-            if len(cache) > CACHE_WORDS:
+            if len(cache) * len(trees_.languages) > CACHE_WORDS * 4:
                 cache, bits, letter = {}, bits[:0], letter[:0]
             new = [w for w in words.vocab if w not in cache]
             cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
@@ -202,7 +231,7 @@ def predict(docs: DataFrame, model: ByteTrees | None, keep: list[str] | None = N
     return source.mapInArrow(score, schema)
 
 
-def identified(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
+def identified(docs: DataFrame, model: Forest | None) -> DataFrame:
     """The documents, all columns, whose language can be told; those that get ``und`` go."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     return predict(rows, model, ["_row"]).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")

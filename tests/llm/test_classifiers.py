@@ -62,6 +62,24 @@ def test_code_lengths_are_those_of_the_tree():
     assert whole == pytest.approx(-np.log2(2 / 3) + 1 + 1 - np.log2(4 / 10) + 8 - np.log2(2 / 10), abs=1e-4)
 
 
+def test_every_language_is_learnt_with_its_own_budget(spark):
+    """70 languages, the last ones with the fewest rows, under a budget that the large ones would fill."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i % 26] + letters[i // 26] + letters[(i * 7 + 3) % 26]
+    docs = [(1000 * i + j, f"{word(i)} " * 20, f"x{i:02d}") for i in range(70) for j in range(2 if i < 64 else 1)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(rows, max_grams=50)
+    assert len(model.languages) == 70
+    assert [r.doc_id for r in langid.predict(rows, model).join(rows, "doc_id").filter("lang <> lang_pred").collect()] == []
+
+
+def test_escapes_are_counted_before_pruning(spark):
+    rows = spark.createDataFrame([(1, "ab ab ab ac ad", "x")], "doc_id long, text string, lang string")
+    # the rare ' ac' and ' ad' are pruned, yet b after ' a' stays 3 of 5 + 3
+    model = langid.fit(rows, max_grams=9)
+    assert model.code_lengths([b"ab"])[0, 0] == pytest.approx(langid.fit(rows).code_lengths([b"ab"])[0, 0], abs=1e-4)
+
+
 def test_language_of_odd_rows(spark):
     docs = odd(spark)
     for model in (None, langid.fit(docs)):
