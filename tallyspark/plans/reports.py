@@ -319,6 +319,32 @@ def o_natural_section_sort(spark, d):
     return rows.orderBy(key, "p_partkey").limit(100)
 
 
+# the same orders over every row, with the place in the order as a column
+
+
+@query("""SELECT c_nationkey, c_custkey, top, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY top DESC NULLS LAST, c_custkey) AS INTEGER) AS place
+    FROM (SELECT c_nationkey, c_custkey, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL)""")
+def o_nulls_last_all(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    rows = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_nationkey", "c_custkey").agg(F.max("o_totalprice").alias("top"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc_nulls_last("top"), "c_custkey")))
+
+
+@query("""SELECT period, n, CAST(row_number() OVER (ORDER BY period) AS INTEGER) AS place
+    FROM (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1)""")
+def o_timeseries_order_all(spark, d):
+    rows = report(spark, d, Report(["orders"], [Measure("n", "count")], {"period": dates.time_grain("o_orderdate", "month")}))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("period"))))
+
+
+@query(f"""SELECT p_brand, section, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CAST(split_part(section, '.', 1) AS INTEGER), CAST(split_part(section, '.', 2) AS INTEGER), p_partkey) AS INTEGER) AS place
+    FROM ({_SECTIONS}) JOIN (SELECT p_partkey, p_brand FROM part) USING (p_partkey)""")
+def o_natural_section_sort_all(spark, d):
+    rows = table(spark, d, "part").select("p_brand", F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 13).cast("string")).alias("section"), "p_partkey")
+    key = F.transform(F.split("section", "[.]"), lambda x: F.coalesce(x.try_cast("int"), F.lit(999999)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(key, "p_partkey")))
+
+
 # sets
 
 

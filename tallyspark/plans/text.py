@@ -105,6 +105,21 @@ def t_sensitive(spark, d):
     return names.select("c", F.lower("c").rlike("|".join(T.SENSITIVE)).alias("v"))
 
 
+_SPELLED = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.ABBREVIATIONS.items()) + " ELSE w END"
+
+
+@query(rf"""SELECT c, array_to_string(list_transform(string_split(trim(regexp_replace(lower(regexp_replace(c, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: {_SPELLED}), ' ') AS v
+    FROM (SELECT c_name AS c FROM customer UNION SELECT event_type FROM events)""")
+def t_identifier_words_rows(spark, d):
+    names = table(spark, d, "customer").select(F.col("c_name").alias("c")).unionByName(table(spark, d, "events").select(F.col("event_type").alias("c"))).distinct()
+    return names.select("c", T.identifier_words(F.col("c")).alias("v"))
+
+
+@query("SELECT DISTINCT text AS c, regexp_matches(lower(text), '" + "|".join(T.SENSITIVE) + "') AS v FROM conversations")
+def t_sensitive_rows(spark, d):
+    return table(spark, d, "conversations").select(F.col("text").alias("c")).distinct().select("c", F.lower("c").rlike("|".join(T.SENSITIVE)).alias("v"))
+
+
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\d+\.\d+\.\d+'))), ',') AS v FROM documents")
 def t_clause_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.\d+\.\d+"), F.lit(0)))), ",").alias("v"))

@@ -94,3 +94,14 @@ def test_trades(spark):
 def test_upsert(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (None, "d"), (3, "e")], "k int, v string")
     assert sorted(tuple(r) for r in upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_orders_without_a_limit_give_every_row(spark):
+    from tallyspark import catalogue
+
+    d, q = "/root/testdata/sf0.001", catalogue.queries()
+    months = q["o_timeseries_order_all"](spark, d).collect()
+    assert len(months) > 24 and sorted(r.place for r in months) == list(range(1, len(months) + 1))
+    customers = q["o_nulls_last_all"](spark, d)
+    assert customers.count() == spark.read.parquet(f"{d}/customer.parquet").count()
+    assert q["o_natural_section_sort_all"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() > 100
