@@ -232,6 +232,10 @@ def predict(docs: DataFrame, model: Forest | None, keep: list[str] | None = None
 
 
 def identified(docs: DataFrame, model: Forest | None) -> DataFrame:
-    """The documents, all columns, whose language can be told; those that get ``und`` go."""
+    """The documents, all columns, whose language can be told; those that get ``und`` go.
+
+    Without a model no language can be told, and only null texts and those without letters go."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    if model is None:
+        return rows.filter(F.col("text").rlike(r"\p{L}")).select("_row.*")
     return predict(rows, model, ["_row"]).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")

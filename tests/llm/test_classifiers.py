@@ -94,6 +94,13 @@ def test_language_of_odd_rows(spark):
     assert langid.fit(docs.limit(0)) is None
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    docs = odd(spark)
+    kept = langid.identified(docs, langid.fit(docs.filter("lang IS NULL")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 5, 6, 7]
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd(spark)
     rows = quality.binned(docs, docs.filter("doc_id = 5"))
