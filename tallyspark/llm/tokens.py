@@ -1,23 +1,33 @@
-"""Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
+"""Token ids of whole texts with the tokenizers library, each distinct piece of a batch encoded once.
 
-A text is cut where no token can reach across, the distinct pieces of a batch
-are encoded, and the ids of the texts are put together from them with numpy.
+A text is cut where no token can reach across. The distinct pieces of a batch
+are words of plain letters with marks behind them, or anything else. Plain
+words go through the vocabulary's own model, very many in one call; marks and
+other pieces go through the whole tokenizer; numpy puts the ids of the texts
+together. Nothing is kept from batch to batch but the tokenizer itself, so a
+worker's memory depends on the size of a batch alone.
+
+The tokenizer is used as its file has it: the strings of its special tokens
+in a text become those tokens, unless special_strings is False.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
-#: Above so many known pieces a worker forgets their ids and starts anew.
-CACHE_PIECES = 600_000
+#: Letters that are lower-cased one to one and composed already.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_EACH_LETTER = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]))
+#: Marks that are a token of their own after a letter.
+MARKS = ".,;:!?"
+#: Words in one call.
+TOGETHER = 4096
 
 
 def vocabulary(name: str) -> str:
@@ -26,168 +36,182 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[begin[p]:begin[p + 1]] for each place p, one after the other, and where each begins."""
+    size = begin[place + 1] - begin[place]
+    start = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(start[-1], dtype=np.int64)
+    at += np.repeat(begin[place] - start[:-1], size)
+    return flat[at], start
+
+
 class Encoder:
-    """ids and offsets of batches. Strings of special tokens in a text are ordinary text."""
+    """ids and offsets of batches of texts."""
 
-    #: Letters that are lower-cased one to one and composed already, then marks that are a token of their own.
-    PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-    LOWER = False
+    PLAIN = f"^[{LETTERS}]+[{MARKS}]*$"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_strings: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in [" ", *map(chr, range(0xC0, 0x100))]})
-        self.model = self.tokenizer.model
-        self.words: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {"": []}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A piece of plain letters and marks: its word is looked up or merged by the model itself."""
-        if len(self.words) > CACHE_PIECES // 2:
-            self.words = {}
-        words, tails, plain, merge = self.words, self.tails, self.PLAIN.fullmatch, self.model.tokenize
-        own, other = [], []
-        for p in new:
-            m = plain(p)
-            if not m:
-                other.append(len(own))
-                own.append(None)
-                continue
-            w = m[1].lower() if self.LOWER else m[1]
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = [t.id for t in merge(w.translate(self.as_bytes))]
-            if m[2]:
-                tail = tails.get(m[2])
-                if tail is None:
-                    tail = self.whole([m[2]])[0]
-                    if len(tails) < 10_000:
-                        tails[m[2]] = tail
-                ids = ids + tail
-            own.append(ids)
-        for i, ids in zip(other, self.together([new[i] for i in other]), strict=True):
-            own[i] = ids
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes
-
-    def together(self, pieces: list[str]) -> list[list[int]]:
-        return [x for i in range(0, len(pieces), 20_000) for x in self.whole(pieces[i : i + 20_000])]
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Number of each of some distinct pieces in the table of known ones."""
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.flat, self.begin = {}, self.flat[:0], self.begin[:1]
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            flat, sizes = self.pieces(new)
-            self.flat = np.concatenate([self.flat, flat])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-
-    def gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after the other, and how many each has."""
-        size = self.begin[place + 1] - self.begin[place]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        at = np.arange(total) + np.repeat(self.begin[place] - (end - size), size)
-        return self.flat[at], size
+        self.tokenizer.encode_special_tokens = not special_strings
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special_strings else []
+        # the same model behind no other cut than that between the words it is given
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([CharDelimiterSplit("\n"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.edge = self.edges(names)
+
+    def edges(self, names: list[str]) -> np.ndarray:
+        """Which ids begin or end a word, so the ids of many words can be told apart."""
+        raise NotImplementedError
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts as the tokenizer gives them, and where each text's begin."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        start = np.cumsum([0, *map(len, ids)])
+        return np.array([x for own in ids for x in own], dtype=np.uint32), start
+
+    def model_ids(self, words: list[str], between: str = "\n") -> np.ndarray:
+        parts = [between.join(words[i : i + TOGETHER]) + between for i in range(0, len(words), TOGETHER)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(parts, add_special_tokens=False))])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and where each word's begin."""
+        raise NotImplementedError
+
+    def plain(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """A newline in front or not, word and marks of plain pieces."""
+        return pa.nulls(len(pieces), pa.bool_()).fill_null(False), pc.utf8_rtrim(pieces, MARKS), pc.utf8_ltrim(pieces, _EACH_LETTER)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces and where each piece's begin."""
+        plain = pc.match_substring_regex(pieces, self.PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        line, word, mark = self.plain(pieces.filter(plain))
+        word, mark = pc.dictionary_encode(word), pc.dictionary_encode(mark)
+        parts = [self.whole(["\n"]), self.words(word.dictionary), self.whole(mark.dictionary.to_pylist()), self.whole(pieces.filter(pc.invert(plain)).to_pylist())]
+        flat = np.concatenate([p[0] for p in parts])
+        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+        begin = np.concatenate([*(p[1][:-1] + s for p, s in zip(parts, shift)), shift[-1:]])
+        # a plain piece is a newline or nothing, a word, and marks that may have no ids
+        first = np.cumsum([0, *(len(p[1]) - 1 for p in parts)])
+        atoms = np.zeros((len(pieces), 3), np.int64)
+        used = np.zeros((len(pieces), 3), bool)
+        atoms[is_plain, 1] = first[1] + np.asarray(word.indices)
+        atoms[is_plain, 2] = first[2] + np.asarray(mark.indices)
+        used[is_plain] = True
+        used[is_plain, 0] = line.to_numpy(zero_copy_only=False)
+        atoms[~is_plain, 1] = first[3] + np.arange(len(pieces) - is_plain.sum())
+        used[~is_plain, 1] = True
+        ids, start = gathered(flat, begin, atoms[used])
+        return ids, start[np.concatenate([[0], np.cumsum(used.sum(axis=1))])]
 
 
 class WordEncoder(Encoder):
-    """For a vocabulary whose pre-tokenizer drops white space: pieces are the runs between it."""
-
-    #: A control character that is one token, put between pieces that are encoded together.
-    MARK, TOGETHER = "\x01", 200
-    LOWER = True
-
-    def together(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces that are encoded many at a time, with a mark between them."""
-        if any(self.MARK in p for p in pieces):
-            return self.whole(pieces)
-        mark, out = self.whole([self.MARK])[0][0], []
-        for ids in self.whole([f" {self.MARK} ".join([*pieces[i : i + self.TOGETHER], ""]) for i in range(0, len(pieces), self.TOGETHER)]):
-            at = 0
-            while at < len(ids):
-                end = ids.index(mark, at)
-                out.append(ids[at:end])
-                at = end + 1
-        return out
+    """For a vocabulary whose pre-tokenizer drops white space and whose words end with a mark of
+    their own: pieces are the runs between ASCII white space."""
+
+    def edges(self, names: list[str]) -> np.ndarray:
+        return np.array([n.endswith("</w>") for n in names])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.model_ids(pc.utf8_lower(words).to_pylist())
+        return ids, np.concatenate([[0], np.flatnonzero(self.edge[ids]) + 1])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and where each text begins (one more at the end); null is empty."""
         parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_utf8()))
         off = np.asarray(parts.offsets, dtype=np.int64)
-        coded = pc.dictionary_encode(parts.values)
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        ids, size = self.gathered(self.places(coded.dictionary.to_pylist())[codes] if len(codes) else codes)
-        run = np.concatenate([[0], np.cumsum(size)])
-        return ids, run[off] - run[off[0]] if len(off) else np.zeros(1, np.int64)
+        coded = pc.dictionary_encode(parts.flatten())
+        ids, begin = self.pieces(coded.dictionary)
+        ids, start = gathered(ids, begin, np.asarray(coded.indices, dtype=np.int64))
+        return ids, start[off - off[0]] if len(texts) else np.zeros(1, np.int64)
 
 
 class SpacedEncoder(Encoder):
-    """For a byte-level vocabulary whose pre-tokenizer puts a space before the word that follows it:
-    pieces are the runs between single spaces, each but the first with its space. A text with other
-    white space next to a space, or with two spaces together, is encoded as a whole."""
+    """For a byte-level vocabulary whose pre-tokenizer joins a space to the word behind it and keeps
+    any other white space apart: pieces begin at each space and newline. Of a run of white space the
+    last one belongs to what follows and the rest is one token or more, so two together are cut right
+    as well; texts with three together, two at their end, other white space at the edge of a piece,
+    a special token or the character that marks the cuts are encoded as a whole."""
+
+    CUT = "\x00"
+    PLAIN = f"^[ \n]?[{LETTERS}]+[{MARKS}]*$"
+
+    def edges(self, names: list[str]) -> np.ndarray:
+        return np.array([n.startswith("Ġ") for n in names])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        spaced = pc.starts_with(words, " ")
+        is_spaced = spaced.to_numpy(zero_copy_only=False)
+        ids = self.model_ids(words.filter(spaced).to_pylist())
+        # between words that do not begin with a space a space alone tells them apart
+        other = self.model_ids(words.filter(pc.invert(spaced)).to_pylist(), "\n \n")
+        ends = np.flatnonzero(self.edge[other])
+        keep = ~self.edge[other]
+        sizes = np.empty(len(words), np.int64)
+        sizes[is_spaced] = np.diff(np.append(np.flatnonzero(self.edge[ids]), len(ids)))
+        sizes[~is_spaced] = np.diff(ends, prepend=-1) - 1
+        both = np.concatenate([ids, other[keep]])
+        order = np.concatenate([np.flatnonzero(is_spaced), np.flatnonzero(~is_spaced)])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return gathered(both, np.concatenate([[0], np.cumsum(sizes[order])]), place)
+
+    def plain(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        return pc.starts_with(pieces, "\n"), pc.utf8_ltrim(pc.utf8_rtrim(pieces, MARKS), "\n"), pc.utf8_ltrim(pieces, " \n" + _EACH_LETTER)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and where each text begins (one more at the end); null is empty."""
         texts = texts.fill_null("").cast(pa.large_utf8())
         docs = len(texts)
         if not docs:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        parts = pc.split_pattern(texts, " ")
+        odd = np.zeros(docs, bool)
+        for x in (self.CUT, *self.special):
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", self.CUT + " "), "\n", self.CUT + "\n")
+        parts = pc.split_pattern(cut, self.CUT)
         off = np.asarray(parts.offsets, dtype=np.int64)
         off = off - off[0]
         coded = pc.dictionary_encode(parts.flatten())
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        vocab = coded.dictionary.to_pylist()
-        edge = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in vocab), bool, len(vocab))
-        owner = np.repeat(np.arange(docs), np.diff(off))
-        odd = np.zeros(docs, bool)
-        odd[owner[edge[codes]]] = True
-        first = np.zeros(len(codes), bool)
-        first[off[:-1]] = True
-        use = ~odd[owner]
-        place = np.zeros(len(codes), np.int64)
-        inner, outer = np.unique(codes[use & ~first]), np.unique(codes[use & first])
-        table = np.zeros(len(vocab), np.int64)
-        bare = np.zeros(len(vocab), np.int64)
-        both = self.places([" " + vocab[c] for c in inner] + [vocab[c] for c in outer])
-        table[inner], bare[outer] = both[: len(inner)], both[len(inner) :]
-        place = np.where(first, bare[codes], table[codes])[use]
-        ids, size = self.gathered(place)
-        count = np.bincount(owner[use], weights=size, minlength=docs).astype(np.int64)
-        if odd.any():
-            slow = np.flatnonzero(odd)
-            own = dict(zip(slow.tolist(), self.whole([texts[int(i)].as_py() for i in slow]), strict=True))
-            count[slow] = [len(x) for x in own.values()]
-            start = np.concatenate([[0], np.cumsum(count)])
-            out = np.empty(int(start[-1]), np.uint32)
-            fast = np.repeat(~odd, count)
-            out[fast] = ids
-            for i, x in own.items():
-                out[start[i] : start[i + 1]] = x
-            return out, start
-        return ids, np.concatenate([[0], np.cumsum(count)])
-
-
-_encoders: dict[tuple[type, str], Encoder] = {}
-
-
-def encoder_of(kind: type[Encoder], path: str) -> Encoder:
-    """The encoder of this worker process, which keeps its pieces from task to task."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+        codes, vocab = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+        strange = pc.invert(pc.match_substring_regex(vocab, self.PLAIN)).to_numpy(zero_copy_only=False)
+        alone, edge = np.zeros(len(vocab), bool), np.zeros(len(vocab), bool)
+        for i in np.flatnonzero(strange).tolist():
+            p = vocab[i].as_py()
+            rest = p[1:] if p[:1] in (" ", "\n") else p
+            alone[i] = bool(p) and not rest
+            edge[i] = bool(rest) and (rest[0].isspace() or rest[-1].isspace())
+        lone = alone[codes]
+        wrong = edge[codes]
+        last = np.zeros(len(codes) + 1, bool)
+        last[off] = True
+        wrong[:-1] |= lone[:-1] & lone[1:] & ~last[1:-1]
+        if wrong.any():
+            odd |= np.add.reduceat(wrong, off[:-1]) > 0
+        ids, begin = self.pieces(vocab)
+        ids, start = gathered(ids, begin, codes)
+        start = start[off]
+        if not odd.any():
+            return ids, start
+        slow = np.flatnonzero(odd)
+        own, own_start = self.whole([texts[int(i)].as_py() for i in slow])
+        order = np.arange(docs)
+        order[slow] = docs + np.arange(len(slow))
+        return gathered(np.concatenate([ids, own]), np.concatenate([start, start[-1] + own_start[1:]]), order)
+
+
+_encoders: dict[tuple[type, str, bool], Encoder] = {}
+
+
+def encoder_of(kind: type[Encoder], path: str, special_strings: bool = True) -> Encoder:
+    """The encoder of this worker process: the tokenizer only, which is of a fixed size."""
+    key = (kind, path, special_strings)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = kind(path, special_strings)
+    return _encoders[key]
 
 
 def with_end(ids: np.ndarray, start: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
