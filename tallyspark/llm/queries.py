@@ -56,8 +56,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return token_files.read(token_files.written(docs, vocabulary("word_bpe_49k.json"), 2, shards))
+    return token_files.read(token_files.written(docs, vocabulary("word_bpe_49k.json"), 2))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +94,6 @@ def queries() -> dict:
     }
 
 
-_HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk": f"""

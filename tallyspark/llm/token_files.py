@@ -1,27 +1,35 @@
 """Token ids in files: an adaptive context-mixing range coder over independent blocks.
 
 Blocks of BLOCK ids are coded each on its own, with a model that starts anew
-and a CRC-32 of its ids. Three models predict the next id: the id that last
-followed the two ids before it (order 2), the one before it (order 1), and a
-running majority of the block (order 0). What happens at a place is one of
-four events: the order-2 prediction is right, else the order-1 one, else the
-order-0 one, else none, and the id follows literally. Each model keeps
-probabilities of the four events, those of orders 2 and 1 by how often that
-context was right lately. They adapt at every id, as do the weights they are
-mixed with, which follow how well each model has done; the mixture drives a
-carry-less range coder. All arithmetic is on integers, so reading repeats
-writing exactly.
+and a CRC-32 of its ids. An id is known in its block by its place in the
+order of first appearance. Three models predict the next one: the id that
+last followed the two ids before it (order 2), the one that last followed the
+id before it (order 1), and the counts of all ids of the block so far (order
+0). A mixture gives every id its probability: of four events (the order-2
+prediction is right, else the order-1 one, else an id of the block so far,
+else a new one) each model has its own probabilities, those of orders 2 and 1
+by how often that context was right lately. These adapt at every id, as do
+the weights they are mixed with, which follow how well each model has done.
+An id of the block so far is then coded by its count, updated at every id,
+and a new one by the counts of RANGES of ids that new ones fell into, then by
+its place in the range. All of it goes through one carry-less range coder;
+nothing is written beside it. All arithmetic is on integers, so reading
+repeats writing exactly.
 
 LANES blocks of a segment are coded side by side, one numpy lane for each.
 
-A block in a file: MAGIC, number of ids, of code words, of literals, CRC-32
-(unsigned 32-bit, little-endian), then the code words and the literals
-(unsigned 16-bit). A segment is a row of a Parquet file: the blocks of
-consecutive documents with their ids and lengths; segments are in ascending
-order of doc_id. Ids must be under 65,536.
+A block in a file: MAGIC, number of ids, of code words, CRC-32 (unsigned
+32-bit, little-endian), then the code words (unsigned 16-bit). A segment is a
+row of a Parquet file: the blocks of consecutive documents with their ids and
+lengths; segments are in ascending order of doc_id. Ids must be under 65,536;
+a larger one raises ValueError.
 
 Null texts are empty: such a document holds its end id alone. Rows with a null
-doc_id come first; repeated rows are written each for itself.
+doc_id come first; rows with the same doc_id are ordered by a hash of their
+text and written each for itself. An empty table has no segments and gives no
+rows. Other columns than doc_id and text are not read. Memory follows the
+size of a segment and, for a text longer than that, the length of the text,
+which is tokenized whole.
 """
 
 from __future__ import annotations
@@ -38,27 +46,34 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
 from tallyspark.llm.tokens import WordEncoder, encoder_of, with_end
-
-BLOCK = 2048
-MAGIC = 0x31425444
-HEAD = struct.Struct("<5I")
-#: Ids buffered for a segment, which bounds memory and gives the lanes.
-SEGMENT_IDS = 4_000_000
-#: Blocks coded side by side; more fill the cache with their tables.
+from tallyspark.llm.words import portions
+
+#: Ids of a block, 8 to the power of LEVELS.
+LEVELS = 4
+BLOCK = 8**LEVELS
+MAGIC = 0x32425444
+HEAD = struct.Struct("<4I")
+#: Blocks coded side by side.
 LANES = 1024
-SLOTS = 11
+#: Ids buffered for a segment, which bounds memory and fills the lanes.
+SEGMENT_IDS = LANES * BLOCK
+#: Bytes of text that make about a shard.
+SHARD_BYTES = 32 << 20
+LARGEST = 1 << 16
 BITS = 12
-#: Ids coded between two looks at the range: 2**40 outlasts four events of the least probability.
-STRIDE = 4
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_WORD, _FIELD, _LEAST = np.uint64(16), np.uint64((1 << BITS) - 1), 8
-#: How sure a context is, from how sure it was, where its prediction was right.
-_SURER = np.array([1, 2, 3, 3], np.uint32)
-#: The two multipliers of the hash of a context.
-_HASH1, _HASH2 = np.uint32(2654435761), np.uint32(2246822519)
-_SHIFT = np.uint32(32 - SLOTS)
+_TOP, _BOTTOM, _HIGH = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(48)
+_WORD, _LEAST = np.uint64(16), 8
+#: What counting a digit adds to running counts before each digit; as rows and as one number a row.
+_ADDED = (np.arange(8)[:, None] < np.arange(8)).astype(np.uint16)
+_ADDED_ROW = _ADDED.view(np.complex128).ravel()
+#: How sure a context is after a wrong and a right prediction, from how sure it was; 0 has never been set.
+_SURE = np.array([1] * 8 + [1, 2, 3, 4, 5, 6, 7, 7], np.uint32)
+_STATES, _STATE = np.uint32(3), np.uint32(7)
+_HASH = np.int64(40503)
 #: Cumulative probabilities of the first three events side by side, FIELD bits each: of FINE bits, with room for a weight of 8.
 FIELD, FINE, WEIGHT = 21, 13, 8
+#: Ranges of ids: by their number of bits and the two bits after the first.
+RANGES = 64
 
 
 def _fields(*values: int) -> np.uint64:
@@ -67,142 +82,229 @@ def _fields(*values: int) -> np.uint64:
 
 _ONE = (1 << FINE) - 1
 _FINE = np.uint64(_ONE)
-#: How fast the probabilities adapt: those of contexts, and those of order 0.
-_FAST, _SLOW = np.uint64(4), np.uint64(5)
-_KEPT_FAST, _KEPT_SLOW = _fields(*[_ONE >> 4] * 3), _fields(*[_ONE >> 5] * 3)
-#: What an event adds to the probabilities: to those at or above it.
-_TO_FAST = np.array([_fields(*[(_ONE >> 4) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
-_TO_SLOW = np.array([_fields(*[(_ONE >> 5) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
-#: Where an event's probabilities begin and end among the fields; before the first there is 0.
-_BEGIN, _BEGUN = np.array([0, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, _ONE, _ONE, _ONE], np.uint64)
-_END = np.array([0, FIELD, 2 * FIELD, 3 * FIELD], np.uint64)
+#: How fast the probabilities adapt, and what an event adds to them: to those at or above it.
+_FAST, _KEPT = np.uint64(5), _fields(*[_ONE >> 5] * 3)
+_TO = np.array([_fields(*[(_ONE >> 5) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
+#: Where an event begins among the fields (before the first there is 0) and ends (after the last there is the whole).
+_BEGIN, _END = np.array([0, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 3 * FIELD], np.uint64)
+_BEGUN, _WHOLE = np.array([0, _ONE, _ONE, _ONE], np.uint64), np.array([0, 0, 0, _ONE], np.uint64)
 #: From the mixture to frequencies of BITS bits of which each event has _LEAST at least.
 _COARSE, _MIXED = np.uint64(FIELD - BITS), _fields(*[(1 << BITS) - 1] * 3)
 _CUT, _CUTS, _FLOOR = np.uint64(7), _fields(*[((1 << BITS) - 1) >> 7] * 3), _fields(_LEAST, 2 * _LEAST, 3 * _LEAST)
-_FREQ = np.uint64((1 << BITS) - 1)
+_FREQ, _ALL = np.uint64((1 << BITS) - 1), np.array([0, 0, 0, 1 << BITS], np.uint64)
+_FREQS = np.array([0, *[(1 << BITS) - 1] * 3], np.uint64)
+
+
+def _range_starts() -> np.ndarray:
+    """The first id of each range and, at the end, the number of ids."""
+    starts = [0, 1, 2, 3, *((4 + part) << (bits - 3) for bits in range(3, 17) for part in range(4))]
+    return np.array([*starts, *[LARGEST] * (RANGES + 1 - len(starts))], np.int64)
+
+
+_STARTS = _range_starts()
+_RANGE = np.searchsorted(_STARTS[: np.searchsorted(_STARTS, LARGEST)], np.arange(LARGEST), side="right") - 1
+_NEW = (np.arange(RANGES)[:, None] <= np.arange(RANGES)).astype(np.uint16)
 
 
 class Mixer:
-    """Models of a number of lanes; predict() gives the frequencies, update() learns the ids.
+    """Probabilities of the four events for a number of lanes; predict() gives them, update() learns.
 
-    A context's entry is its last id shifted by two bits, with how sure it is (0 to 3) in them.
-    Frequencies are cumulative, four fields of BITS bits and the whole above them."""
+    A context's entry is the place of its last id, from 1, shifted by three bits, with how sure it
+    is in them. The mixture has the cumulative frequencies of the first three events in its fields."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.base, self.states = lane << SLOTS, lane << 2
-        self.last2, self.last1 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)
-        self.top, self.votes = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
-        self.key1, self.key2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        # none right is likeliest at first
-        first = _fields(*[_ONE * k // 7 for k in (1, 2, 3)])
-        self.p2, self.p1 = np.full(lanes << 2, first), np.full(lanes << 2, first)
+        self.base = np.stack([lane * BLOCK, (lanes + lane) * BLOCK])
+        self.states = np.stack([lane << 3, (lanes + lane) << 3])
+        self.last = np.zeros(2 * lanes * BLOCK, np.uint32)
+        self.key1, self.key2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # an id of the block so far is likeliest at first
+        first = _fields(_ONE // 16, _ONE // 8, _ONE * 13 // 16)
+        self.p = np.full(lanes << 4, first)
         self.own = np.full((3, lanes), first)
         self.done = np.full((3, lanes), 1 << (FINE - 2), np.uint32)
+        self.at = np.empty((2, lanes), np.int64)
 
     def predict(self) -> np.ndarray:
-        self.at1 = self.base + (self.key1 >> _SHIFT)
-        self.at2 = self.base + ((self.key1 + self.key2) >> _SHIFT)
-        e1, e2 = self.last1[self.at1], self.last2[self.at2]
-        self.sure1, self.sure2 = e1 & 3, e2 & 3
-        self.guess1, self.guess2 = e1 >> 2, e2 >> 2
-        self.row2, self.row1 = self.states + self.sure2, self.states + self.sure1
-        self.own[0], self.own[1] = self.p2[self.row2], self.p1[self.row1]
-        weight = (self.done << WEIGHT) // (self.done[0] + self.done[1] + self.done[2])
-        mixed = (((self.own * weight).sum(axis=0)) >> _COARSE) & _MIXED
-        mixed += _FLOOR - ((mixed >> _CUT) & _CUTS)
-        one, two, three = mixed & _FREQ, (mixed >> np.uint64(FIELD)) & _FREQ, mixed >> np.uint64(2 * FIELD)
-        return (one << np.uint64(BITS)) | (two << np.uint64(2 * BITS)) | (three << np.uint64(3 * BITS)) | np.uint64(1 << 5 * BITS)
-
-    def event(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, np.where(ids == self.top, 2, 3)))
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        begin = (self.own >> _BEGIN[event]) & _BEGUN[event]
-        end = np.where(event == 3, _FINE, (self.own >> _END[event]) & _FINE)
-        self.done = (self.done * np.uint32(15) + (end - begin).astype(np.uint32) + np.uint32(8)) >> np.uint32(4)
-        fast = self.own[:2] - ((self.own[:2] >> _FAST) & _KEPT_FAST) + _TO_FAST[event]
-        self.p2[self.row2], self.p1[self.row1] = fast
-        self.own[2] += _TO_SLOW[event] - ((self.own[2] >> _SLOW) & _KEPT_SLOW)
-        entry = ids << 2
-        self.last2[self.at2] = entry | (_SURER[self.sure2] * (ids == self.guess2))
-        self.last1[self.at1] = entry | (_SURER[self.sure1] * (ids == self.guess1))
-        self.votes += np.where(ids == self.top, np.int32(1), np.int32(-1))
-        np.copyto(self.top, ids, where=self.votes < 0)
-        np.abs(self.votes, out=self.votes)
-        self.key2 = self.key1 * _HASH2
-        self.key1 = ids * _HASH1
-
-
-def _bounds(freq: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where an event begins in the frequencies, and how many it has."""
-    here = freq >> (event * BITS).astype(np.uint64)
-    start = here & _FIELD
-    return start, ((here >> np.uint64(BITS)) - start) & _FIELD
+        np.add(self.base[0], (self.key1 * _HASH + self.key2) & (BLOCK - 1), out=self.at[0])
+        np.add(self.base[1], self.key1, out=self.at[1])
+        entry = self.last.take(self.at)
+        self.sure, self.guess = entry & _STATE, entry >> _STATES
+        self.row = self.states + self.sure
+        self.own[:2] = self.p.take(self.row)
+        # divisions of whole numbers as IEEE doubles give the same everywhere
+        share = float(1 << WEIGHT) / (self.done[0] + self.done[1] + self.done[2])
+        parts = self.own * (self.done * share).astype(np.uint64)
+        mixed = ((parts[0] + parts[1] + parts[2]) >> _COARSE) & _MIXED
+        return mixed + (_FLOOR - ((mixed >> _CUT) & _CUTS))
+
+    def update(self, place: np.ndarray, event: np.ndarray) -> None:
+        begin = (self.own >> _BEGIN.take(event)) & _BEGUN.take(event)
+        end = ((self.own >> _END.take(event)) & _FINE) | _WHOLE.take(event)
+        self.done = (self.done * np.uint32(31) + (end - begin).astype(np.uint32) + np.uint32(16)) >> np.uint32(5)
+        self.own += _TO.take(event) - ((self.own >> _FAST) & _KEPT)
+        self.p[self.row] = self.own[:2]
+        entry = place.astype(np.uint32) + np.uint32(1)
+        self.last[self.at] = (entry << _STATES) | _SURE.take(self.sure + ((self.guess == entry) << _STATES))
+        self.key2 = self.key1
+        self.key1 = place
+
+
+class Counts:
+    """How often each place of each lane occurred: a tree of LEVELS digits of three bits, whose rows
+    hold what came before each digit."""
+
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes)
+        self.before = [np.zeros(lanes << (3 * k + 3), np.uint16) for k in range(LEVELS)]
+        self.rows = [x.view(np.complex128) for x in self.before]  # a row of eight as one number of 16 bytes
+        self.own = np.zeros(lanes * BLOCK, np.uint16)
+
+    def span(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts before each place and of it; these places are the next that add() counts."""
+        self.path = [(self.lane << (3 * k + 3)) + (place >> (3 * (LEVELS - 1 - k))) for k in range(LEVELS)]
+        below = self.before[0].take(self.path[0])
+        for x, at in zip(self.before[1:], self.path[1:]):
+            below += x.take(at)
+        return below.astype(np.uint64), self.own.take(self.path[-1]).astype(np.uint64)
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The place whose counts hold each target; targets are under a lane's total."""
+        at = self.lane
+        for x, rows in zip(self.before, self.rows):
+            row = rows.take(at).view(np.uint16).reshape(-1, 8)
+            at = (at << 3) + np.bitwise_count((row <= target[:, None]).view(np.uint64).ravel()) - 1
+            target = target - x.take(at)
+        return at - self.lane * BLOCK
+
+    def add(self) -> None:
+        for rows, at in zip(self.rows, self.path):
+            row = at >> 3
+            new = rows.take(row)
+            counts = new.view(np.uint16)
+            counts += _ADDED_ROW.take(at & 7).view(np.uint16)
+            rows[row] = new
+        self.own[self.path[-1]] += np.uint16(1)
+
+
+class News:
+    """Counts of the ranges that new ids fell into; every range has one to start with."""
+
+    def __init__(self, lanes: int):
+        self.counts = np.tile(np.arange(1, RANGES + 1, dtype=np.uint16), (lanes, 1))
+
+    def span(self, lanes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts before the range of each lane, of it, and in all."""
+        before = np.where(part > 0, self.counts[lanes, part - 1], np.uint16(0)).astype(np.uint64)
+        return before, self.counts[lanes, part] - before, self.total(lanes)
+
+    def total(self, lanes: np.ndarray) -> np.ndarray:
+        return self.counts[lanes, RANGES - 1].astype(np.uint64)
 
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return (self.counts[lanes] > target[:, None]).argmax(axis=1)
 
-def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Lanes whose top word is settled or must be cut short."""
-    return ((low ^ (low + width)) < _TOP) | (width < _BOTTOM)
+    def add(self, lanes: np.ndarray, part: np.ndarray) -> None:
+        self.counts[lanes] += _NEW[part]
+
+
+def _bounds(mixed: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an event begins in the frequencies, and how many it has."""
+    start = (mixed >> _BEGIN.take(event)) & _FREQS.take(event)
+    return start, (((mixed >> _END.take(event)) & _FREQ) | _ALL.take(event)) - start
 
 
 def _shifted(low: np.ndarray, width: np.ndarray, step) -> None:
-    """step(lanes, their low) for each word that leaves, until no lane is ready."""
-    at = np.flatnonzero(_ready(low, width))
-    while len(at):
-        lo, wd = low[at], width[at]
-        cut = (lo ^ (lo + wd)) >= _TOP
-        wd = np.where(cut, (np.uint64(0) - lo) & (_BOTTOM - np.uint64(1)), wd)
-        step(at, lo)
-        lo, wd = lo << _WORD, wd << _WORD
-        low[at], width[at] = lo, wd
-        at = at[_ready(lo, wd)]
+    """step(ready, low) for each word that leaves, until no lane is ready: lanes whose top word is
+    settled or, where the width is small, must be cut short."""
+    while True:
+        end = low ^ (low + width)
+        narrow = width < _BOTTOM
+        ready = (end < _TOP) | narrow
+        if not ready.any():
+            return
+        if narrow.any():
+            cut = np.flatnonzero(narrow & (end >= _TOP))
+            width[cut] = (np.uint64(0) - low[cut]) & (_BOTTOM - np.uint64(1))
+        step(ready, low)
+        by = ready * _WORD
+        low <<= by
+        width <<= by
+
+
+def _appearance(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each id of a block in the order of first appearance, and whether it is new there."""
+    _, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    new = np.zeros(len(own), bool)
+    new[first] = True
+    return rank[inverse], new
 
 
 def encoded(ids: np.ndarray) -> bytes:
     """The blocks of an array of ids."""
+    if len(ids) and int(ids.max()) >= LARGEST:
+        raise ValueError(f"ids must be under {LARGEST}: {int(ids.max())}")
+    ids = ids.astype(np.uint16)
     size = LANES * BLOCK
     return b"".join(x for i in range(0, len(ids), size) for x in _encoded(ids[i : i + size]))
 
 
 def _encoded(ids: np.ndarray) -> list[bytes]:
     n = len(ids)
-    lanes = -(-n // BLOCK)
-    steps = min(n, BLOCK)
-    table = np.zeros(lanes * steps, np.uint32)  # a short last block is filled up; its length tells
-    table[:n] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    mixer = Mixer(lanes)
+    lanes, steps = -(-n // BLOCK), min(n, BLOCK)
+    table = np.zeros((lanes, steps), np.uint16)  # a short last block is filled up; its length tells
+    table.ravel()[:n] = ids
+    places, news = np.empty((lanes, steps), np.int16), np.empty((lanes, steps), bool)
+    for j in range(lanes):
+        places[j], news[j] = _appearance(table[j])
+    table, places, news = (np.ascontiguousarray(x.T) for x in (table, places, news))
+    mixer, counts, ranges = Mixer(lanes), Counts(lanes), News(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    words = np.zeros((lanes, 2 * BLOCK + 16), np.uint16)
-    count = np.zeros(lanes, np.int64)
-    literal = np.zeros((steps, lanes), bool)
+    words = np.zeros((lanes, 3 * BLOCK + 16), np.uint16)
+    flat, first = words.ravel(), np.arange(lanes) * words.shape[1]
+    count = first.copy()
 
-    def put(at: np.ndarray, lo: np.ndarray) -> None:
-        words[at, count[at]] = lo >> np.uint64(48)
-        count[at] += 1
+    def put(ready: np.ndarray, lo: np.ndarray) -> None:
+        flat[count] = lo >> _HIGH  # where a lane is not ready the next word overwrites it
+        count.__iadd__(ready)
 
     for i in range(steps):
-        now = table[i]
-        freq = mixer.predict()
-        event = mixer.event(now)
-        start, part = _bounds(freq, event)
+        place = places[i].astype(np.int64)
+        mixed = mixer.predict()
+        hit2, hit1 = mixer.guess == place + 1
+        event = np.where(hit2, 0, np.where(hit1, 1, 2 + news[i]))
+        start, part = _bounds(mixed, event)
         unit = width >> np.uint64(BITS)
         low += start * unit
         width = part * unit
-        if i % STRIDE == STRIDE - 1:
-            _shifted(low, width, put)
-        literal[i] = event == 3
-        mixer.update(now, event)
+        start, part = counts.span(place)
+        if i:
+            unit = width // np.uint64(i)
+            known = event == 2
+            low += start * unit * known
+            width = np.where(known, part * unit, width)
+        at = np.flatnonzero(event == 3)
+        if len(at):
+            value = table[i, at].astype(np.int64)
+            kind = _RANGE[value]
+            start, part, total = ranges.span(at, kind)
+            unit = width[at] // total
+            lo, wd = low[at] + start * unit, part * unit
+            unit = wd // (_STARTS[kind + 1] - _STARTS[kind]).astype(np.uint64)
+            low[at], width[at] = lo + (value - _STARTS[kind]).astype(np.uint64) * unit, unit
+            ranges.add(at, kind)
+        _shifted(low, width, put)
+        counts.add()
+        mixer.update(place, event)
     for k in range(4):  # the rest of low
-        words[np.arange(lanes), count + k] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
-    count += 4
-    literal = np.ascontiguousarray(literal.T)
+        flat[count + k] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
+    count += 4 - first
     out = []
     for j in range(lanes):
         own = ids[j * BLOCK : (j + 1) * BLOCK]
-        raw = own[literal[j, : len(own)]]
-        out += [HEAD.pack(MAGIC, len(own), count[j], len(raw), zlib.crc32(own.astype("<u4").tobytes())), words[j, : count[j]].astype("<u2").tobytes(), raw.astype("<u2").tobytes()]
+        out += [HEAD.pack(MAGIC, len(own), count[j], zlib.crc32(own.astype("<u4").tobytes())), words[j, : count[j]].astype("<u2").tobytes()]
     return out
 
 
@@ -212,12 +314,12 @@ def decoded(data: bytes) -> np.ndarray:
     while at < len(data):
         if at + HEAD.size > len(data):
             raise ValueError("not a block of token ids")
-        magic, n, w, r, crc = HEAD.unpack_from(data, at)
+        magic, n, w, crc = HEAD.unpack_from(data, at)
         at += HEAD.size
-        if magic != MAGIC or n > BLOCK or r > n or w < 4 or at + 2 * (w + r) > len(data):
+        if magic != MAGIC or not 0 < n <= BLOCK or w < 4 or at + 2 * w > len(data):
             raise ValueError("not a block of token ids")
-        blocks.append((n, crc, np.frombuffer(data, "<u2", w, at), np.frombuffer(data, "<u2", r, at + 2 * w)))
-        at += 2 * (w + r)
+        blocks.append((n, crc, np.frombuffer(data, "<u2", w, at)))
+        at += 2 * w
     return np.concatenate([np.zeros(0, np.uint32), *(x for i in range(0, len(blocks), LANES) for x in _decoded(blocks[i : i + LANES], i))])
 
 
@@ -225,37 +327,61 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
     lanes = len(blocks)
     begin = np.cumsum([0, *(len(b[2]) for b in blocks)])[:-1]
     code = np.concatenate([*(b[2] for b in blocks), np.zeros(8, np.uint16)]).astype(np.uint64)
-    raw_at = np.cumsum([0, *(len(b[3]) for b in blocks)])[:-1]
-    raw = np.concatenate([*(b[3] for b in blocks), np.zeros(1, np.uint16)]).astype(np.uint32)
-    last_raw, last_code = len(raw) - 1, len(code) - 1
-    place = begin + 4
+    last_code = len(code) - 1
+    at_code = begin + 4
     value = (code[begin] << np.uint64(48)) | (code[begin + 1] << np.uint64(32)) | (code[begin + 2] << np.uint64(16)) | code[begin + 3]
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     steps = max(b[0] for b in blocks)
-    mixer, out = Mixer(lanes), np.zeros((steps, lanes), np.uint32)
+    mixer, counts, ranges = Mixer(lanes), Counts(lanes), News(lanes)
+    out, ids, distinct = np.zeros((steps, lanes), np.uint16), np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes, np.int64)
+    lane = np.arange(lanes) * BLOCK
 
-    def take(at: np.ndarray, lo: np.ndarray) -> None:
-        value[at] = (value[at] << _WORD) | code[np.minimum(place[at], last_code)]
-        place[at] += 1
+    def take(ready: np.ndarray, lo: np.ndarray) -> None:
+        new = code.take(at_code, mode="clip") * ready
+        value.__ilshift__(ready * _WORD).__ior__(new)
+        at_code.__iadd__(ready)
 
     for i in range(steps):
-        freq = mixer.predict()
+        mixed = mixer.predict()
         unit = width >> np.uint64(BITS)
         off = value - low
-        event = np.zeros(lanes, np.int64)
-        for k in (1, 2, 3):
-            event += off >= ((freq >> np.uint64(k * BITS)) & _FIELD) * unit
-        start, part = _bounds(freq, event)
+        event = (off >= (mixed & _FREQ) * unit).astype(np.int64)
+        for k in (1, 2):
+            event += off >= ((mixed >> np.uint64(k * FIELD)) & _FREQ) * unit
+        start, part = _bounds(mixed, event)
         low += start * unit
         width = part * unit
-        lit = event == 3
-        ids = np.where(event == 0, mixer.guess2, np.where(event == 1, mixer.guess1, np.where(lit, raw[np.minimum(raw_at, last_raw)], mixer.top)))
-        raw_at = raw_at + lit
-        if i % STRIDE == STRIDE - 1:
-            _shifted(low, width, take)
-        out[i] = ids
-        mixer.update(ids, event)
-    out = np.ascontiguousarray(out.T)
+        known = event == 2
+        place = np.where(event < 2, np.where(event == 0, mixer.guess[0], mixer.guess[1]).astype(np.int64) - 1, distinct)
+        if i:
+            unit = width // np.uint64(i)
+            target = np.minimum((value - low) // np.maximum(unit, np.uint64(1)), np.uint64(i - 1))
+            place = np.where(known, counts.find(target.astype(np.uint16)), place)
+        np.clip(place, 0, BLOCK - 1, out=place)  # for damaged blocks
+        start, part = counts.span(place)
+        if i:
+            low += start * unit * known
+            width = np.where(known, part * unit, width)
+        at = np.flatnonzero(event == 3)
+        if len(at):
+            total = ranges.total(at)
+            unit = np.maximum(width[at] // total, np.uint64(1))
+            lo = low[at]
+            kind = ranges.find(at, np.minimum((value[at] - lo) // unit, total - np.uint64(1)).astype(np.uint16))
+            start, part, _ = ranges.span(at, kind)
+            lo, wd = lo + start * unit, part * unit
+            size = np.maximum(_STARTS[kind + 1] - _STARTS[kind], 1).astype(np.uint64)
+            unit = np.maximum(wd // size, np.uint64(1))
+            off = np.minimum((value[at] - lo) // unit, size - np.uint64(1))
+            low[at], width[at] = lo + off * unit, unit
+            ids[lane[at] + place[at]] = _STARTS[kind] + off.astype(np.int64)
+            distinct[at] += 1
+            ranges.add(at, kind)
+        _shifted(low, width, take)
+        out[i] = ids.take(lane + place)
+        counts.add()
+        mixer.update(place, event)
+    out = np.ascontiguousarray(out.T).astype(np.uint32)
     parts = []
     for j, (n, crc, *_) in enumerate(blocks):
         own = out[j, :n]
@@ -265,8 +391,10 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
     return parts
 
 
-def written(docs: DataFrame, vocabulary: str, end_id: int, shards: int) -> DataFrame:
-    """The files as a table: (shard, segment, doc_ids, lengths, n_ids, payload), saved."""
+def written(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The files as a table: (shard, segment, doc_ids, lengths, n_ids, payload), saved.
+
+    A shard holds about shard_bytes bytes of text whatever the size of the table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, segment = encoder_of(WordEncoder, vocabulary), TaskContext.get().partitionId(), 0
@@ -277,25 +405,30 @@ def written(docs: DataFrame, vocabulary: str, end_id: int, shards: int) -> DataF
         def row() -> pa.RecordBatch:
             nonlocal segment
             ids = np.concatenate(held)
+            held.clear()
             segment += 1
             out = [pa.array([shard]), pa.array([segment - 1]), pa.array([pa.concat_arrays(names).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)]), pa.array([len(ids)]), pa.array([encoded(ids)], pa.binary())]
-            for x in (held, names, lengths):
-                x.clear()
+            names.clear()
+            lengths.clear()
             return pa.RecordBatch.from_arrays(out, ["shard", "segment", "doc_ids", "lengths", "n_ids", "payload"])
 
-        for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                ids, start = with_end(*encoder.encode(part.column("text")), end_id)
-                held.append(ids.astype(np.uint16))
-                names.append(part.column("doc_id"))
-                lengths.append(np.diff(start))
-                if sum(map(len, held)) >= SEGMENT_IDS:
-                    yield row()
+        for batch in portions(batches, "text"):
+            ids, start = with_end(*encoder.encode(batch.column("text")), end_id)
+            if int(ids.max()) >= LARGEST:
+                raise ValueError(f"ids must be under {LARGEST}: {int(ids.max())}")
+            held.append(ids.astype(np.uint16))
+            names.append(batch.column("doc_id"))
+            lengths.append(np.diff(start))
+            if sum(map(len, held)) >= SEGMENT_IDS - SEGMENT_IDS // 16:
+                yield row()
         if held:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    size = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+    # rows without an id or with the same one are dealt out by what else they hold
+    order = [F.asc_nulls_first("doc_id"), F.asc("_text"), F.asc("_row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"), F.xxhash64(F.monotonically_increasing_id()).alias("_row"))
+    ordered = rows.repartitionByRange(max(1, -(-int(size) // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return saved(ordered.mapInArrow(write, "shard long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"), "token-files")
 
 
