@@ -5,13 +5,18 @@ products with a query one block of dimensions after the other. What the
 remaining dimensions can still add is at most the product of the two
 remaining norms; candidates whose sum plus that bound can't reach the k-th
 best score known so far are dropped and the survivors compacted, so later
-blocks touch few columns. Scores are integers and exact.
-
-Queries come in blocks of a fixed size, each broadcast to one pass over the
-candidates. Vectors that are null or hold a null, NaN or infinite component
-take no part, neither do rows without an id or of a minority width (only
-vectors of the query's width are compared). Rows with the query's id are the
-query's own. Ties go to the smaller id.
+blocks touch few columns. Scores are integers and exact: norms whose product
+reaches 2**52 raise ValueError, as doubles could not hold the sums.
+
+Queries come in blocks of a fixed size, each broadcast to a job of its own
+whose result is a table before the next block is collected, so the driver
+holds one block at a time. Vectors that are null or hold a null, NaN or
+infinite component take no part, neither do rows without an id; a query is
+compared with vectors of its own width only. Rows with the query's id are the
+query's own and never its candidates. Rows with the same id and vector are
+one query; where the vectors of an id differ, each has ranks of its own.
+Repeated candidates each take a rank, ties go to the smaller id. An empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -71,48 +76,54 @@ def search(vectors: DataFrame, is_query, k: int = 5, block_queries: int = 4096,
     """(query_id, rank, vec_id, score) of the k best others for each row where is_query holds."""
     spark = vectors.sparkSession
     points = saved(quantised(vectors, scale), "points")
-    queries = points.filter(is_query)
+    norm = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
+    largest = points.agg(F.max(norm)).first()[0]
+    if largest is not None and largest >= 2.0**52:
+        raise ValueError(f"vectors of a squared norm of {largest:g} are too long for exact scores")
+    queries = saved(points.filter(is_query).dropDuplicates(["vec_id", "q"]), "queries")
     blocks = max(1, -(-queries.count() // block_queries))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    found = []
+    block = F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks))
+    near = None
     for b in range(blocks):
-        rows = queries.filter(block == b).toArrow()
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lists, qid = rows.column("q").to_pylist(), np.array(rows.column("vec_id").to_pylist(), dtype=np.int64)
+        rows = queries.filter(block == b).select("vec_id", "q", F.xxhash64("q").alias("query")).toArrow()
+        by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        lists, qid, own = rows.column("q").to_pylist(), *(np.array(rows.column(c).to_pylist(), dtype=np.int64) for c in ("vec_id", "query"))
         widths = np.array([len(x) for x in lists], dtype=np.int64)
         for w in np.unique(widths[widths > 0]):
             of = np.flatnonzero(widths == w)
-            by_width[int(w)] = (np.array([lists[i] for i in of], dtype=np.float64), qid[of])
+            by_width[int(w)] = (np.array([lists[i] for i in of], dtype=np.float64), qid[of], own[of])
         shared = spark.sparkContext.broadcast(by_width)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            top: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            floors = {w: np.full(len(q), -np.inf) for w, (q, _) in shared.value.items()}
-            for batch in batches:
-                lists = batch.column("q")
-                width = np.diff(np.asarray(lists.offsets))
-                flat = np.asarray(lists.flatten(), dtype=np.float64)
-                begin = np.cumsum(width) - width
-                ids = np.asarray(batch.column("vec_id"))
-                for w, (q, qids) in shared.value.items():
-                    of = np.flatnonzero(width == w)
-                    if not len(of):
-                        continue
-                    columns = np.ascontiguousarray(flat[begin[of][None, :] + np.arange(w)[:, None]])
-                    for i, vec, score in best(q, qids, columns, ids[of], k, floors[w]):
-                        own = top.setdefault((w, i), [])
-                        own += zip((-score).tolist(), vec.tolist(), strict=True)
-                        own.sort()
-                        del own[k:]
-                        if len(own) == k:
-                            floors[w][i] = -own[-1][0]
-            out = [(int(shared.value[w][1][i]), v, -s) for (w, i), own in top.items() for s, v in own]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-        found.append(points.mapInArrow(scan, "query_id long, vec_id long, score long"))
-    near = found[0]
-    for more in found[1:]:
-        near = near.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+        found = points.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, k), "query_id long, query long, vec_id long, score long")
+        if blocks > 1:
+            found = saved(found, "near")
+            shared.destroy()
+        near = found if near is None else near.unionByName(found)
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc("vec_id"))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _scan(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's candidates for each query of a block."""
+    top: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    floors = {w: np.full(len(q), -np.inf) for w, (q, *_) in queries.items()}
+    for batch in batches:
+        lists = batch.column("q")
+        width = np.diff(np.asarray(lists.offsets))
+        flat = np.asarray(lists.flatten(), dtype=np.float64)
+        begin = np.cumsum(width) - width
+        ids = np.asarray(batch.column("vec_id"))
+        for w, (q, qids, _) in queries.items():
+            of = np.flatnonzero(width == w)
+            if not len(of):
+                continue
+            columns = np.ascontiguousarray(flat[begin[of][None, :] + np.arange(w)[:, None]])
+            for i, vec, score in best(q, qids, columns, ids[of], k, floors[w]):
+                own = top.setdefault((w, i), [])
+                own += zip((-score).tolist(), vec.tolist(), strict=True)
+                own.sort()
+                del own[k:]
+                if len(own) == k:
+                    floors[w][i] = -own[-1][0]
+    out = [(int(queries[w][1][i]), int(queries[w][2][i]), v, -s) for (w, i), own in top.items() for s, v in own]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query", "vec_id", "score"])
