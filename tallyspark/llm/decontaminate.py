@@ -7,12 +7,16 @@ is looked up, hits are verified word by word, and the words inside verified
 windows are marked. From the marks come spans to cut or documents to drop.
 
 The windows go to the executors in blocks of a fixed number of them, each
-with a pass of its own, so what is broadcast is bounded whatever the size of
-the benchmark.
+with a job of its own whose result is a table before the next block is
+collected, so driver and workers hold one block at a time whatever the size
+of the benchmark.
 
 Null or empty texts have no words and are never contaminated; items without
 words or id are left out; repeated items and documents count each for itself
-(items by their id).
+(items by their id). An empty benchmark hits nothing, an empty table gives no
+rows. Extra columns pass through without_contaminated() and without_spans()
+under any name. A very long text is read whole, in memory of some twenty
+times its size; other texts share portions of four megabytes.
 """
 
 from __future__ import annotations
@@ -21,32 +25,42 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.tables import saved
 from tallyspark.llm.words import ALNUM, hashes, portions, split, windows
 
 N = 13
 #: Windows broadcast at once, of at most N words each.
 BLOCK_WINDOWS = 200_000
 FILTER_BITS = 20
+#: Benchmark text read at once, and windows given out at once.
+ITEM_BYTES, ITEM_ROWS = 1 << 20, 50_000
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item_id string, window binary, width int): the distinct windows of each item."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["item_id", "window", "width"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", ITEM_BYTES):
             words = split(batch.column("text"), ALNUM)
             rows = []
             for i, item in enumerate(batch.column("item_id").to_pylist()):
                 own = [words.vocab[c] for c in words.codes[words.starts[i] : words.starts[i + 1]]]
                 width = min(n, len(own))
-                if width:
-                    rows += [(item, w, width) for w in {b" ".join(own[j : j + width]) for j in range(len(own) - width + 1)}]
+                for j in range(len(own) - width + 1) if width else ():
+                    rows.append((item, b" ".join(own[j : j + width]), width))
+                    if len(rows) >= ITEM_ROWS:  # a very long item
+                        yield table(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["item_id", "window", "width"])
+                yield table(rows)
 
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     return items.mapInArrow(cut, "item_id string, window binary, width long").distinct()
@@ -94,23 +108,24 @@ class WindowSet:
         return out
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int = N) -> DataFrame:
-    """(key, n_words, spans, items) of every document: spans are array<struct<first, width>>
-    of verified windows, merged, items the sorted ids of the items they belong to."""
+def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, with_text: bool = True) -> DataFrame:
+    """The columns keep, text if wanted, n_words, spans and items of every document, as in scanned()."""
     spark = docs.sparkSession
-    grams = benchmark_windows(benchmark, n).persist()
+    grams = saved(benchmark_windows(benchmark, n), "benchmark-windows")
     blocks = max(1, -(-grams.count() // BLOCK_WINDOWS))
-    kind = docs.schema[key].dataType.simpleString()
     spans_type, items_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-    out = docs.select(key, F.col("text").cast("binary").alias("_text"))
+    # by place, so that columns of any name pass
+    out = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col("text").alias("text"))
+    types = {f.name: f.dataType.simpleString() for f in out.schema}
     for b in range(blocks):
+        carried = [c for c in types if with_text or b + 1 < blocks or c != "text"]
+        kinds = ", ".join(f"{c} {types[c]}" for c in carried)
         rows = grams.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).select("item_id", "window").toArrow()
         shared = spark.sparkContext.broadcast(WindowSet(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))))
-        carried = [key] + ["_text"] * (b + 1 < blocks)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, carried=carried) -> Iterator[pa.RecordBatch]:
-            for batch in portions(batches, "_text"):
-                words = split(batch.column("_text"), ALNUM)
+            for batch in portions(batches, "text"):
+                words = split(batch.column("text"), ALNUM)
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)
                 if "spans" in batch.schema.names:  # what earlier blocks found
@@ -131,11 +146,19 @@ def scanned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int =
                     [*carried, "n_words", "spans", "items"],
                 )
 
-        out = out.mapInArrow(scan, f"`{key}` {kind}, " + "_text binary, " * (b + 1 < blocks) + "n_words long, spans array<struct<first:long,end:long>>, items array<string>")
-    grams.unpersist()
+        out = out.mapInArrow(scan, f"{kinds}, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
+        if b + 1 < blocks:
+            out = saved(out, "decontaminate")
+            shared.destroy()
     return out
 
 
+def scanned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", n: int = N) -> DataFrame:
+    """(key, n_words, spans, items) of every document: spans are array<struct<first, end>> of
+    verified windows, merged, items the sorted ids of the items they belong to."""
+    return _marked(docs, benchmark, [key], n, with_text=False).select(F.col("c0").alias(key), "n_words", "spans", "items")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping spans as one."""
     out: list[list[int]] = []
@@ -159,9 +182,14 @@ def contaminated():
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    marked = scanned(keyed, benchmark, "_row").withColumn("n_hit", hit_words())
-    return marked.filter(~contaminated()).select("_row.*")
+    marked = _marked(docs, benchmark, [c for c in docs.columns if c != "text"]).withColumn("n_hit", hit_words())
+    return _named(marked.filter(~contaminated()), docs.columns, F.col("text"))
+
+
+def _named(marked: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of the documents in their order, with this text."""
+    places = {c: k for k, c in enumerate(c for c in columns if c != "text")}
+    return marked.select(*[text.alias(c) if c == "text" else F.col(f"c{places[c]}").alias(c) for c in columns])
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -178,11 +206,12 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with the hit passages cut from their texts."""
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    marked = scanned(keyed, benchmark, "_row")
+    marked = _marked(docs, benchmark, [c for c in docs.columns if c != "text"])
 
-    @F.udf("string")
-    def cut(text, spans):
-        return text if not spans else cut_spans(text.encode(), [(s["first"], s["end"]) for s in spans]).decode("utf-8", "ignore")
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_spans(t.encode(), [(s["first"], s["end"]) for s in own]).decode("utf-8", "ignore") for t, own in zip(text, spans, strict=True)], dtype=object)
 
-    return marked.select(*[(F.when(F.size("spans") > 0, cut("_row.text", "spans")).otherwise(F.col("_row.text")) if c == "text" else F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+    # only texts with a hit go to Python
+    hit, clean = marked.filter(F.size("spans") > 0), marked.filter(F.size("spans") == 0)
+    return _named(clean, docs.columns, F.col("text")).unionAll(_named(hit, docs.columns, cut("text", "spans")))

@@ -11,8 +11,11 @@ frozen after fitting.
 
 Nulls: a null text, an empty text and one without any letter get ``und``
 with score 0. Rows without a language teach nothing. Without any training
-row every prediction is ``und``. Repeated rows each get their own result;
-extra columns are kept out of the result.
+row every prediction is ``und``, and an empty table gives no rows. Repeated
+rows each get their own result. Extra columns are kept out of predict()'s
+result and pass through identified() under any name. A very long text is read
+whole, in memory of some fifteen times its size; other texts share portions
+of four megabytes.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ UNDETERMINED = "und"
 #: Words of letters: a-z after folding A-Z, and everything beyond ASCII.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Above so many known words (of four languages) a worker forgets their code lengths and starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Languages that share one table of n-grams, so that the model grows with their number and not its square.
 GROUP = 4
+#: Words whose code lengths are found at once, which bounds memory.
+TOGETHER = 20_000
 
 
 def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -191,6 +196,34 @@ def has_letter(word: bytes) -> bool:
     return word.isascii() or any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
+def _told(batches: Iterator[pa.RecordBatch], column: str, model: Forest) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Portions of the rows with the number of each text's language (that of the languages for
+    none) and its score."""
+    count = len(model.languages)
+    cache: dict[bytes, int] = {}
+    bits, letter = np.zeros((0, count)), np.zeros(0, bool)
+    for batch in portions(batches, column):
+        words = split(batch.column(column), LETTERS)
+        if len(cache) * count > CACHE_WORDS * 4:
+            cache, bits, letter = {}, bits[:0], letter[:0]
+        new = [w for w in words.vocab if w not in cache]
+        if new:
+            cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
+            bits = np.concatenate([bits, *(model.code_lengths(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER))])
+            letter = np.concatenate([letter, np.fromiter(map(has_letter, new), bool, len(new))])
+        at = np.fromiter((cache[w] for w in words.vocab), np.int64, len(words.vocab))
+        each, any_letter = bits[at], letter[at]
+        total = np.zeros((len(words.counts), count))
+        for j in range(count):
+            run = np.concatenate([[0.0], np.cumsum(each[words.codes, j])])
+            total[:, j] = run[words.starts[1:]] - run[words.starts[:-1]]
+        lettered = np.concatenate([[0], np.cumsum(any_letter[words.codes])])
+        lettered = lettered[words.starts[1:]] > lettered[words.starts[:-1]]
+        spread = (total - total.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(words.counts, 1))[:, None]
+        share = 1 / np.exp2(-spread).sum(axis=1)
+        yield batch, np.where(lettered, total.argmin(axis=1), count), np.where(lettered, share, 0.0)
+
+
 def predict(docs: DataFrame, model: Forest | None, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (doc_id), lang_pred and score: the share of the best language when
     each language counts as two to the power of minus its bits over the root of the words."""
@@ -202,30 +235,8 @@ def predict(docs: DataFrame, model: Forest | None, keep: list[str] | None = None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees_ = frozen.value
-        names = np.array([*trees_.languages, UNDETERMINED], dtype=object)
-        cache: dict[bytes, int] = {}
-        bits, letter = np.zeros((0, len(trees_.languages))), np.zeros(0, bool)
-        for batch in portions(batches, "_text"):
-            words = split(batch.column("_text"), LETTERS)
-            if len(cache) * len(trees_.languages) > CACHE_WORDS * 4:
-                cache, bits, letter = {}, bits[:0], letter[:0]
-            new = [w for w in words.vocab if w not in cache]
-            cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
-            bits = np.concatenate([bits, trees_.code_lengths(new)])
-            letter = np.concatenate([letter, np.fromiter(map(has_letter, new), bool, len(new))])
-            at = np.fromiter((cache[w] for w in words.vocab), np.int64, len(words.vocab))
-            each, any_letter = bits[at], letter[at]
-            total = np.zeros((len(words.counts), len(trees_.languages)))
-            for j in range(total.shape[1]):
-                run = np.concatenate([[0.0], np.cumsum(each[words.codes, j])])
-                total[:, j] = run[words.starts[1:]] - run[words.starts[:-1]]
-            lettered = np.concatenate([[0], np.cumsum(any_letter[words.codes])])
-            lettered = lettered[words.starts[1:]] > lettered[words.starts[:-1]]
-            best = total.argmin(axis=1)
-            spread = (total - total.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(words.counts, 1))[:, None]
-            share = 1 / np.exp2(-spread).sum(axis=1)
-            best, share = np.where(lettered, best, len(trees_.languages)), np.where(lettered, share, 0.0)
+        names = np.array([*frozen.value.languages, UNDETERMINED], dtype=object)
+        for batch, best, share in _told(batches, "_text", frozen.value):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(share)], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(score, schema)
@@ -235,7 +246,12 @@ def identified(docs: DataFrame, model: Forest | None) -> DataFrame:
     """The documents, all columns, whose language can be told; those that get ``und`` go.
 
     Without a model no language can be told, and only null texts and those without letters go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     if model is None:
-        return rows.filter(F.col("text").rlike(r"\p{L}")).select("_row.*")
-    return predict(rows, model, ["_row"]).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    frozen = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, best, _ in _told(batches, "text", frozen.value):
+            yield batch.filter(pa.array(best < len(frozen.value.languages)))
+
+    return docs.mapInArrow(told, docs.schema)

@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of this machine."""
+    """The folder that spark.checkpoint.dir names, which the driver and all executors see.
+
+    Unset, it is an error: a folder of one machine would lose rows on a cluster. A session that runs
+    on this machine alone, as in tests, gets one of its own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

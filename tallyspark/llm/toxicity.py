@@ -72,7 +72,7 @@ class Lexicon:
 class Matcher:
     """Weights of distinct words, kept from batch to batch up to a number of words."""
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.automaton, self.known = lexicon, lexicon.automaton(), {}
@@ -168,7 +168,12 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
     harmless = near.filter((F.col("toxic") == 0) & (F.col("clean") >= least)).orderBy(F.desc("clean"), "pair").limit(max_terms).collect()
     lexicon = Lexicon(weights, frozenset(r["pair"] for r in harmless))
     whole = sample.sparkSession.sparkContext.broadcast(lexicon)
-    points = sample.mapInArrow(lambda b: _sums(b, whole.value, "text", ["label", "weight"]), "label int, weight double, total double, n long").toArrow()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, total, n in _sums(batches, whole.value, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(total), pa.array(n)], ["label", "weight", "total", "n"])
+
+    points = sample.mapInArrow(sums, "label int, weight double, total double, n long").toArrow()
     x = features(np.asarray(points.column("total").combine_chunks()), np.asarray(points.column("n").combine_chunks()))
     y = np.asarray(points.column("label").combine_chunks()).astype(float)
     lexicon.curve = tuple(_logistic(x, y, np.asarray(points.column("weight").combine_chunks())))
@@ -202,11 +207,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _sums(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Portions of the rows with the summed weight and the number of words of each text."""
     matcher = Matcher(lexicon)
     for batch in portions(batches, text):
         words = split(batch.column(text), SIGNED)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(matcher.sums(words)[0]), pa.array(words.counts)], [*keep, "total", "n"])
+        yield batch, matcher.sums(words)[0], words.counts
+
+
+def _scores(lexicon: Lexicon, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    if not lexicon.weights:
+        return np.zeros(len(total))
+    return 1 / (1 + np.exp(-np.clip(features(total, n) @ np.array(lexicon.curve), -700, 700)))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
@@ -216,16 +228,18 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) ->
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve = np.array(shared.value.curve)
-        for batch in _sums(batches, shared.value, "_text", keep):
-            x = features(np.asarray(batch.column("total")), np.asarray(batch.column("n")))
-            p = 1 / (1 + np.exp(-np.clip(x @ curve, -700, 700))) if shared.value.weights else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+        for batch, total, n in _sums(batches, shared.value, "_text"):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(_scores(shared.value, total, n))], [*keep, "score"])
 
     return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(score, f"{kinds}, score double")
 
 
 def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents, all columns, that score below the threshold."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return scored(rows, lexicon, ["_row"]).filter(F.col("score") < THRESHOLD).select("_row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, total, n in _sums(batches, shared.value, "text"):
+            yield batch.filter(pa.array(_scores(shared.value, total, n) < THRESHOLD))
+
+    return docs.mapInArrow(accept, docs.schema)
