@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a request.
+#: Own choice: words that carry no meaning in a request.
 STOP_WORDS = "about all and are can does for from give has have how into list me of please show that the their them this to was were what when where which who will with you your".split()
-#: Phrases for a time.
+#: Phrases for a time.
 TIME_PHRASES = ["today", "yesterday", "tomorrow", "this week", "last week", "next week", "this month", "last month", "next month", "this year", "last year", "next year"]
 STATUS_TERMS = ["active", "approved", "closed", "completed", "expired", "inactive", "open", "pending", "rejected"]
-#: Parts of names that mark a column as sensitive.
+#: Own choice: parts of names that mark a column as sensitive.
 SENSITIVE = ["email", "phone", "mobile", "address", "password", "salary", "passport", "tin"]
-#: Abbreviations in identifiers.
+#: Own choice: abbreviations in identifiers.
 ABBREVIATIONS = {"acct": "account", "addr": "address", "amt": "amount", "bal": "balance", "cust": "customer", "dt": "date", "no": "number", "qty": "quantity", "supp": "supplier"}
 
 
@@ -49,8 +49,11 @@ def has_phrase(c: Column, phrase: str) -> Column:
 
 
 def matching(c: Column, phrases: list[str]) -> Column:
-    """The phrases that stand alone in the text, in the order given."""
-    return F.array_compact(F.array(*[F.when(has_phrase(c, p), F.lit(p)) for p in phrases]))
+    """The phrases that stand alone in the text, in the order given. One pass finds them all; what follows
+    a phrase is only looked at, so phrases may share the character between them."""
+    longest = "|".join(sorted((p.lower() for p in phrases), key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"(?<![a-z0-9])({longest})(?![a-z0-9])"), F.lit(1))
+    return F.array_intersect(F.array(*[F.lit(p) for p in phrases]), found)
 
 
 def intent(c: Column) -> Column:

@@ -45,7 +45,7 @@ def g_sensitive_columns(spark, d):
     return _cases(spark).select("role", "entity", "aggregate", "sensitive", G.may_see_columns(F.col("role"), F.col("sensitive")).alias("allowed"))
 
 
-@query(f"""WITH c AS (SELECT o_orderkey, role, CASE o_orderkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS class, o_orderkey % 5 = 0 AS sensitive, 50 + CAST(o_totalprice AS BIGINT) % 50 AS confidence, o_orderkey % 7 <> 3 AS complete, o_orderkey % 11 <> 0 AS read_only
+@query(f"""WITH c AS (SELECT o_orderkey, role, CASE o_orderkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS class, o_orderkey % 5 = 0 AS sensitive, 50 + CAST(floor(o_totalprice) AS BIGINT) % 50 AS confidence, o_orderkey % 7 <> 3 AS complete, o_orderkey % 11 <> 0 AS read_only
         FROM orders CROSS JOIN (VALUES {_ROLES}) r(role))
     SELECT role, decision, CAST(count(*) AS BIGINT) AS requests FROM (SELECT role, CASE WHEN NOT (read_only AND {_MAY} AND {_SEES}) THEN 'blocked' WHEN confidence < 75 OR NOT complete THEN 'requires_clarification' ELSE 'approved' END AS decision FROM c) GROUP BY 1, 2""")
 def g_decision_lattice(spark, d):
@@ -54,7 +54,7 @@ def g_decision_lattice(spark, d):
     asked = table(spark, d, "orders").select(
         F.when(k % 4 == 0, "public").when(k % 4 == 1, "internal").when(k % 4 == 2, "confidential").otherwise("restricted").alias("class"),
         (k % 5 == 0).alias("sensitive"),
-        (50 + F.col("o_totalprice").try_cast("double").cast("decimal(20,0)").cast("long") % 50).alias("confidence"),
+        (50 + F.floor("o_totalprice") % 50).alias("confidence"),
         (k % 7 != 3).alias("complete"),
         (k % 11 != 0).alias("read_only"),
     ).join(F.broadcast(_roles(spark)))

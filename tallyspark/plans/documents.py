@@ -24,8 +24,9 @@ TERMS, LEAST, BOILERPLATE = 30, 3, 0.85
 def d_term_learning(spark, d):
     docs = table(spark, d, "documents")
     stop = F.array(*[F.lit(w) for w in T.STOP_WORDS])
-    words = docs.select("source", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).filter(~F.array_contains(stop, F.col("term")))
-    # counted within documents first, so that a common term shuffles one row a document
+    # stop words go before rows are made of the words; counts are by document first, so a common term shuffles one row a document
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    words = docs.select("source", "doc_id", F.explode(words).alias("term"))
     counts = words.groupBy("source", "term", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     rank = Window.partitionBy("source").orderBy(F.desc("df"), F.desc("tf"), "term")
     top = counts.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= TERMS).withColumn("most", F.max("tf").over(Window.partitionBy("source")))
@@ -43,13 +44,13 @@ _SCORED = f"SELECT doc_id, round(CAST({_TF} AS DOUBLE), 6) AS score FROM (SELECT
 
 
 def _scored(spark, d):
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    docs = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    score = F.lit(0.0)
-    for q in QUESTION:
-        n = F.size("w") - F.size(F.array_remove("w", q))
-        score = score + F.when(n > 0, 1.0 + 0.2 * F.least(n, F.lit(5))).otherwise(0.0)
-    return docs.select("doc_id", F.round(score, 6).alias("score"))
+    # only the question's words are taken from the text, and one fold turns their counts into the score
+    wanted = F.array(*[F.lit(q) for q in QUESTION])
+    alone = F.lit(rf"(?<![a-z0-9])({'|'.join(QUESTION)})(?![a-z0-9])")
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), alone, F.lit(1))
+    counts = lambda words: F.transform(wanted, lambda q: F.size(words) - F.size(F.array_remove(words, q)))
+    score = F.aggregate(F.transform(F.array(found), counts)[0], F.lit(0.0), lambda acc, n: acc + F.when(n > 0, 1.0 + 0.2 * F.least(n, F.lit(5))).otherwise(0.0))
+    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query(_SCORED)
@@ -59,7 +60,8 @@ def d_lexical_score(spark, d):
 
 @query(f"SELECT * FROM ({_SCORED}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 6")
 def d_top_documents(spark, d):
-    return _scored(spark, d).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(6)
+    # taken before the filter: a filter under the sort would work the score out again for each use of it
+    return _scored(spark, d).orderBy(F.desc("score"), "doc_id").limit(6).filter("score > 0")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -8,7 +8,7 @@ from tallyspark.catalogue import query
 from tallyspark.functions import text as T
 from tallyspark.plans.text import _INTENT, _REQUESTS, _requests
 
-#: Rows that each role may see.
+#: Rows that each role may see, by the short names of these requests.
 ROW_CAPS = {"administrator": 1000, "data_steward": 500, "knowledge_steward": 500, "analyst": 500, "manager": 300, "executive": 300, "standard": 100}
 _ROLE = "CASE id % 7 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(ROW_CAPS)) + " END"
 _CAP = "CASE id % 7 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(ROW_CAPS.values())) + " END"

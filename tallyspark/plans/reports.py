@@ -368,3 +368,15 @@ def o_latest_per_customer(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     w = Window.partitionBy("c_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return c.join(o, c.c_custkey == o.o_custkey).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'an') AND p_name LIKE '%a%'")
+def f_contains_some(spark, d):
+    """Contains, with a value that occurs."""
+    return table(spark, d, "part").filter(F.lower("p_type").contains("an") & F.col("p_name").contains("a")).select("p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NULL")
+def f_is_null_some(spark, d):
+    """Is null, over a column that has nulls."""
+    return table(spark, d, "customer").filter(F.nullif("c_mktsegment", F.lit("BUILDING")).isNull()).select("c_custkey")
