@@ -124,6 +124,7 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
                 key = set_key(s) if len(s) else None
                 if key in held:
                     held[key][1].append(doc)
+                    size += 1
                 else:
                     held[key] = [len(s), [doc]]
                     sets.append(s)
@@ -446,6 +447,11 @@ def _least_hashed(rows: DataFrame, seed: int) -> DataFrame:
 
 def clustered(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    return _clustered(docs, n).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _clustered(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id) of every document; component_id is null where no id is known."""
     spark = docs.sparkSession
     rows = classes(docs, n)
     local = rows.filter("doc_ids is not null").select("key", "n_shingles", "doc_ids")
@@ -465,19 +471,27 @@ def clustered(docs: DataFrame, n: int = N) -> DataFrame:
 
     regions = components(edges).select("node", F.col("component").alias("region"))
     sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("sets"))
-    wanted = saved(known.join(regions, "node").join(sizes, "region").filter("rep is not null").select("region", "node", "rep", "sets"), "jaccard-wanted")
+    wanted = saved(known.join(regions, "node").join(sizes, "region").select("region", "node", "rep", "sets"), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("_text"))
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    whole = texts.join(some, "rep")
+    some = F.broadcast(wanted.filter("rep is not null")) if wanted.count() <= BROADCAST_IDS else wanted.filter("rep is not null")
+    whole = texts.join(some, "rep").select("region", "node", "sets", "_text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows with the same id may hold other texts, which are other nodes
         for batch in portions(batches, "_text"):
             sets = shingle_sets(batch.column("_text"), n)
-            keep = pa.array([len(s) > 0 for s in sets])
-            out = pa.RecordBatch.from_arrays([batch.column("region"), batch.column("node"), batch.column("sets"), pa.array([s.tobytes() for s in sets], pa.binary())], ["region", "node", "sets", "shingles"])
+            own = [node(set_key(s)) if len(s) else None for s in sets]
+            keep = pa.array([a is not None and b in (a, None) for a, b in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column("region"), pa.array(own, pa.int64()), batch.column("sets"), pa.array([s.tobytes() for s in sets], pa.binary())], ["region", "node", "sets", "shingles"])
             yield out.filter(keep)
 
-    members = saved(whole.select("region", "node", "sets", "_text").mapInArrow(shingled, "region long, node long, sets long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
+    kinds = "region long, node long, sets long, shingles binary"
+    members = whole.mapInArrow(shingled, kinds)
+    if wanted.filter("rep is null").limit(1).count():
+        # texts that only rows without an id hold are found by their shingles
+        nameless = texts.filter("rep is null").select(F.lit(0).cast("long").alias("region"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("sets"), "_text").mapInArrow(shingled, kinds)
+        members = members.unionByName(nameless.select("node", "shingles").join(wanted.filter("rep is null").select("region", "node", "sets"), "node").select("region", "node", "sets", "shingles"))
+    members = saved(members.dropDuplicates(["node"]), "jaccard-sets")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // 2000))
     label = small_regions(members.filter(F.col("sets") <= SMALL), parts)
     big = members.filter(F.col("sets") > SMALL)
@@ -488,18 +502,29 @@ def clustered(docs: DataFrame, n: int = N) -> DataFrame:
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     resolved = named.join(smallest, "component").select("node", "component_id")
     ids = known.join(resolved, "node", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = local.join(ids, "key", "left").select("n_shingles", "component_id", F.explode("doc_ids").alias("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return local.join(ids, "key", "left").select("key", "n_shingles", "component_id", F.explode("doc_ids").alias("doc_id"))
 
 
 def representatives(docs: DataFrame, n: int = N) -> DataFrame:
     """The documents, all columns, with the smallest doc_id of each component; rows without a doc_id stay.
-    Of rows with the same doc_id one stays."""
-    found = clustered(docs, n).select(F.col("doc_id").alias("_id"), "component_id")
-    found = saved(found.filter("_id is not null"), "jaccard-found")
-    gone = found.filter(F.col("_id") != F.col("component_id")).select("_id").distinct()
-    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(some, docs["doc_id"] == some["_id"], "left_anti")
-    if found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    Of the rows with the same doc_id one stays, of those whose own component has it for its smallest."""
+    found = saved(_clustered(docs, n).filter("doc_id is not null").select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-found")
+    ids = found.select(F.col("doc_id").alias("_id"), "component_id")
+    if not ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        gone = ids.filter(F.col("_id") != F.col("component_id")).select("_id")
+        some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+        return docs.join(some, docs["doc_id"] == some["_id"], "left_anti")
+
+    # ids repeat: rows are told apart by their shingles
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            keys = pa.array([set_key(s) if len(s) else None for s in shingle_sets(batch.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, mark])
+
+    mark = "_key"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    rows = docs.filter("doc_id is not null").mapInArrow(keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {mark} binary")
+    stays = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{mark}_id")).agg(F.min("key").alias(f"{mark}_stays"))
+    kept = rows.join(stays, (F.col("doc_id") == F.col(f"{mark}_id")) & F.col(mark).eqNullSafe(F.col(f"{mark}_stays")))
+    return docs.filter("doc_id is null").unionByName(kept.dropDuplicates(["doc_id"]).select(docs.columns))

@@ -11,8 +11,12 @@ of the summed weight and of the weight per word, so normalised by length,
 gives the score.
 
 Null and empty texts have no match and get the score of a text without any.
-Without toxic training rows the lexicon is empty and every score is 0.
-Repeated rows each get a score; extra columns are kept out of the result.
+Without toxic training rows the lexicon is empty and every score is 0; labels
+other than 0 and 1 and null labels are left out. An empty table gives no rows,
+repeated rows each get a score. Extra columns are kept out of scored()'s
+result and pass through accepted() under any name. A very long text is read
+whole, in memory of some fifteen times its size; other texts share portions
+of four megabytes.
 """
 
 from __future__ import annotations
@@ -118,7 +122,7 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFra
     The lexicon is learnt from this bounded sample of the labelled rows, not
     from more; as it is bounded, the labels are broadcast to the documents.
     """
-    labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     known = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = {k: min(1.0, max_rows / n) for k, n in known.items()}

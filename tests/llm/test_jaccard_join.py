@@ -99,3 +99,25 @@ def test_regions_over_several_tasks(spark, monkeypatch):
     docs = list(enumerate(docs, 1))
     rng.shuffle(docs)
     assert found(spark, docs) == brute.clusters(docs)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """An id with two texts is two nodes; texts of rows without an id link others."""
+    base = [f"w{i}" for i in range(40)]
+    near = [" ".join([*base[:39], "x"]), " ".join([*base[1:39], "x"]), " ".join([*base[2:39], "x"])]
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = [(1, near[0]), (7, other), (7, near[1]), (None, near[2]), (9, " ".join(base[3:39] + ["x"])), (4, None), (4, other)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.clustered(df).collect()}
+    assert got[1, 36] == got[7, 35] == got[None, 34] == got[9, 33] == 1
+    assert got[7, 26] == got[4, 26] == 4 and got[4, 0] == 4
+    kept = sorted((tuple(r) for r in jaccard_join.representatives(df).collect()), key=repr)
+    assert kept == sorted([(1, near[0]), (4, other), (None, near[2])], key=repr)
+
+
+def test_labels_beyond_two_kinds_are_left_out(spark):
+    from tallyspark.llm import toxicity
+
+    docs = spark.createDataFrame([(i, "some text") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, None)], "doc_id long, label int")
+    assert sorted(r.label for r in toxicity.sampled(docs, labels).collect()) == [0, 1]
