@@ -25,13 +25,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.words import ALNUM, hashes, portions, split, windows
+from tallyspark.llm.words import ALNUM, freed, hashes, portions, split, windows
 
 N = 13
 #: Windows broadcast at once, of at most N words each.
@@ -63,7 +62,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
                 yield table(rows)
 
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    return items.mapInArrow(cut, "item_id string, window binary, width long").distinct()
+    return items.mapInArrow(freed(cut), "item_id string, window binary, width long").distinct()
 
 
 class WindowSet:
@@ -146,7 +145,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N,
                     [*carried, "n_words", "spans", "items"],
                 )
 
-        out = out.mapInArrow(scan, f"{kinds}, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
+        out = out.mapInArrow(freed(scan), f"{kinds}, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
         if b + 1 < blocks:
             out = saved(out, "decontaminate")
             shared.destroy()
@@ -208,10 +207,14 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with the hit passages cut from their texts."""
     marked = _marked(docs, benchmark, [c for c in docs.columns if c != "text"])
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t.encode(), [(s["first"], s["end"]) for s in own]).decode("utf-8", "ignore") for t, own in zip(text, spans, strict=True)], dtype=object)
-
-    # only texts with a hit go to Python
-    hit, clean = marked.filter(F.size("spans") > 0), marked.filter(F.size("spans") == 0)
-    return _named(clean, docs.columns, F.col("text")).unionAll(_named(hit, docs.columns, cut("text", "spans")))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            spans = [[(s["first"], s["end"]) for s in own] for own in batch.column("spans").to_pylist()]
+            texts = [cut_spans(t.encode(), own).decode("utf-8", "ignore") for t, own in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept], kept)
+
+    # only texts with a hit go to Python once more
+    kept = [c for c in marked.columns if c not in ("n_words", "spans", "items")]
+    hit, clean = marked.filter(F.size("spans") > 0), marked.filter(F.size("spans") == 0).select(kept)
+    both = clean.unionByName(hit.select(*kept, "spans").mapInArrow(freed(cut), clean.schema))
+    return _named(both, docs.columns, F.col("text"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
 from tallyspark.llm.tables import saved
-from tallyspark.llm.words import SPACED, hashes, portions, split, windows
+from tallyspark.llm.words import SPACED, freed, hashes, portions, split, windows
 
 N = 5
 #: Sets link when HUNDRED * intersection >= PERCENT * union.
@@ -55,7 +55,9 @@ ROUNDS = 2
 LOCAL_FREQUENT = 3
 #: At most so many frequent shingles are broadcast; beyond, less frequent ones keep their place in the order.
 MAX_FREQUENT = 500_000
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 2_000_000
+#: Entries of cells that a task gathers before it gives them out.
+ENTRIES = 500_000
 BUCKET_ENTRIES = 400_000
 BROADCAST_IDS = 500_000
 
@@ -135,7 +137,7 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
         yield rows()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
-    return saved(source.mapInArrow(scan, "key binary, n_shingles long, doc_ids array<long>, shingle long, sets long"), "jaccard-classes")
+    return saved(source.mapInArrow(freed(scan), "key binary, n_shingles long, doc_ids array<long>, shingle long, sets long"), "jaccard-classes")
 
 
 def cells(docs: DataFrame, frequent: np.ndarray, buckets: int, pairs: bool, n: int = N) -> DataFrame:
@@ -190,7 +192,7 @@ def cells(docs: DataFrame, frequent: np.ndarray, buckets: int, pairs: bool, n: i
                 entries.append(s[first])
                 owners.append(np.full(k, node(key), np.int64))
                 size += k
-            if size >= 1_000_000:
+            if size >= ENTRIES:
                 size = 0
                 yield rows()
         if entries:
@@ -233,8 +235,8 @@ def cells(docs: DataFrame, frequent: np.ndarray, buckets: int, pairs: bool, n: i
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b).astype(np.int64)), third], ["a", "b", "cells"])
 
     source = docs.select(F.col("text").cast("binary").alias("_text"))
-    packed = source.mapInArrow(enter, "bucket int, entries binary")
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long, cells long")
+    packed = source.mapInArrow(freed(enter), "bucket int, entries binary")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(freed(meet), "a long, b long, cells long")
 
 
 def candidate_edges(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -486,10 +488,10 @@ def _clustered(docs: DataFrame, n: int) -> DataFrame:
             yield out.filter(keep)
 
     kinds = "region long, node long, sets long, shingles binary"
-    members = whole.mapInArrow(shingled, kinds)
+    members = whole.mapInArrow(freed(shingled), kinds)
     if wanted.filter("rep is null").limit(1).count():
         # texts that only rows without an id hold are found by their shingles
-        nameless = texts.filter("rep is null").select(F.lit(0).cast("long").alias("region"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("sets"), "_text").mapInArrow(shingled, kinds)
+        nameless = texts.filter("rep is null").select(F.lit(0).cast("long").alias("region"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("sets"), "_text").mapInArrow(freed(shingled), kinds)
         members = members.unionByName(nameless.select("node", "shingles").join(wanted.filter("rep is null").select("region", "node", "sets"), "node").select("region", "node", "sets", "shingles"))
     members = saved(members.dropDuplicates(["node"]), "jaccard-sets")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // 2000))
@@ -524,7 +526,7 @@ def representatives(docs: DataFrame, n: int = N) -> DataFrame:
     mark = "_key"
     while any(c.startswith(mark) for c in docs.columns):
         mark = "_" + mark
-    rows = docs.filter("doc_id is not null").mapInArrow(keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {mark} binary")
+    rows = docs.filter("doc_id is not null").mapInArrow(freed(keyed), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {mark} binary")
     stays = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{mark}_id")).agg(F.min("key").alias(f"{mark}_stays"))
     kept = rows.join(stays, (F.col("doc_id") == F.col(f"{mark}_id")) & F.col(mark).eqNullSafe(F.col(f"{mark}_stays")))
     return docs.filter("doc_id is null").unionByName(kept.dropDuplicates(["doc_id"]).select(docs.columns))

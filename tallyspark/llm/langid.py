@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.words import portions, split
+from tallyspark.llm.words import freed, portions, split
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -178,7 +178,7 @@ def fit(rows: DataFrame, max_documents: int = 600, max_grams: int = 100_000) ->
                 total = np.bincount(at.ravel(), weights=n[word][fits]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(np.full(len(total), k)), pa.array(both[1]), pa.array(total)], ["lang", "order", "gram", "n"])
 
-    grams = sample.mapInArrow(count, "lang long, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(freed(count), "lang long, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     context = Window.partitionBy("lang", "order", F.shiftright("gram", 8))
     grams = grams.select("*", F.sum("n").over(context).alias("total"), F.count("n").over(context).alias("kinds"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "order", "gram"))
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, model: Forest | None, keep: list[str] | None = None
         for batch, best, share in _told(batches, "_text", frozen.value):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(share)], [*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(freed(score), schema)
 
 
 def identified(docs: DataFrame, model: Forest | None) -> DataFrame:
@@ -254,4 +254,4 @@ def identified(docs: DataFrame, model: Forest | None) -> DataFrame:
         for batch, best, _ in _told(batches, "text", frozen.value):
             yield batch.filter(pa.array(best < len(frozen.value.languages)))
 
-    return docs.mapInArrow(told, docs.schema)
+    return docs.mapInArrow(freed(told), docs.schema)

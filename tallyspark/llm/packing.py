@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.tokens import SpacedEncoder, encoder_of, with_end
-from tallyspark.llm.words import portions
+from tallyspark.llm.tokens import SpacedEncoder, with_end
+from tallyspark.llm.words import freed, portions
 
 CAPACITY = 2048
 LARGE = 192
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
     keep = keep or ["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(SpacedEncoder, vocabulary)
+        encoder = SpacedEncoder(vocabulary)
         for batch in portions(batches, "_text"):
             ids, begin = with_end(*encoder.encode(batch.column("_text")), end_id)
             n = np.diff(begin)
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keep), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], [*keep, "piece", "start", "length", "ids_crc32"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(cut, f"{kinds}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(freed(cut), f"{kinds}, piece int, start long, length long, ids_crc32 long")
 
 
 def groups(histogram: np.ndarray, large: int = LARGE, number: int = GROUPS) -> np.ndarray:

@@ -45,8 +45,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.tokens import WordEncoder, encoder_of, with_end
-from tallyspark.llm.words import portions
+from tallyspark.llm.tokens import WordEncoder, with_end
+from tallyspark.llm.words import freed, portions
 
 #: Ids of a block, 8 to the power of LEVELS.
 LEVELS = 4
@@ -397,7 +397,7 @@ def written(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int = SH
     A shard holds about shard_bytes bytes of text whatever the size of the table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, segment = encoder_of(WordEncoder, vocabulary), TaskContext.get().partitionId(), 0
+        encoder, shard, segment = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         names: list[pa.Array] = []
         lengths: list[np.ndarray] = []
@@ -429,7 +429,7 @@ def written(docs: DataFrame, vocabulary: str, end_id: int, shard_bytes: int = SH
     order = [F.asc_nulls_first("doc_id"), F.asc("_text"), F.asc("_row")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"), F.xxhash64(F.monotonically_increasing_id()).alias("_row"))
     ordered = rows.repartitionByRange(max(1, -(-int(size) // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return saved(ordered.mapInArrow(write, "shard long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"), "token-files")
+    return saved(ordered.mapInArrow(freed(write), "shard long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -452,4 +452,4 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(size.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, pa.array(batch.column("first")[r].as_py() + end - size), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(starts, ["shard", "segment"]).mapInArrow(back, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(starts, ["shard", "segment"]).mapInArrow(freed(back), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -202,18 +202,6 @@ class SpacedEncoder(Encoder):
         return gathered(np.concatenate([ids, own]), np.concatenate([start, start[-1] + own_start[1:]]), order)
 
 
-_encoders: dict[tuple[type, str, bool], Encoder] = {}
-
-
-def encoder_of(kind: type[Encoder], path: str, special_strings: bool = True) -> Encoder:
-    """The encoder of this worker process: the tokenizer only, which is of a fixed size."""
-    key = (kind, path, special_strings)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = kind(path, special_strings)
-    return _encoders[key]
-
-
 def with_end(ids: np.ndarray, start: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text followed by end_id."""
     docs = len(start) - 1

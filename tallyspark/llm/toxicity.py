@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
-from tallyspark.llm.words import Words, portions, split
+from tallyspark.llm.words import Words, freed, portions, split
 
 THRESHOLD = 0.3
 #: Word bytes: a-z after folding A-Z, digits, the signs $ and @, everything beyond ASCII.
@@ -153,7 +153,7 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
                     seen.setdefault(t, [0, 0])[label[i]] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
 
-    found = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.mapInArrow(freed(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     top = found.filter(F.col("toxic") >= least).withColumn("odds", ratio).filter(F.col("odds") >= odds).orderBy(F.desc(F.col("odds") * F.log("toxic")), "term").limit(10 * max_terms).collect()
     weights = chosen({r["term"]: (r["toxic"], float(r["odds"])) for r in top}, max_terms)
@@ -168,7 +168,7 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
                 out.setdefault(pair, [0, 0])[label[i]] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), *(pa.array([v[k] for v in out.values()], pa.int64()) for k in (1, 0))], ["pair", "toxic", "clean"])
 
-    near = sample.mapInArrow(pairs, "pair string, toxic long, clean long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    near = sample.mapInArrow(freed(pairs), "pair string, toxic long, clean long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     harmless = near.filter((F.col("toxic") == 0) & (F.col("clean") >= least)).orderBy(F.desc("clean"), "pair").limit(max_terms).collect()
     lexicon = Lexicon(weights, frozenset(r["pair"] for r in harmless))
     whole = sample.sparkSession.sparkContext.broadcast(lexicon)
@@ -177,7 +177,7 @@ def fit(rows: DataFrame, max_terms: int = 2000, least: int = 4, odds: float = 3.
         for batch, total, n in _sums(batches, whole.value, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(total), pa.array(n)], ["label", "weight", "total", "n"])
 
-    points = sample.mapInArrow(sums, "label int, weight double, total double, n long").toArrow()
+    points = sample.mapInArrow(freed(sums), "label int, weight double, total double, n long").toArrow()
     x = features(np.asarray(points.column("total").combine_chunks()), np.asarray(points.column("n").combine_chunks()))
     y = np.asarray(points.column("label").combine_chunks()).astype(float)
     lexicon.curve = tuple(_logistic(x, y, np.asarray(points.column("weight").combine_chunks())))
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) ->
         for batch, total, n in _sums(batches, shared.value, "_text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(_scores(shared.value, total, n))], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(score, f"{kinds}, score double")
+    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(freed(score), f"{kinds}, score double")
 
 
 def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -246,4 +246,4 @@ def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch, total, n in _sums(batches, shared.value, "text"):
             yield batch.filter(pa.array(_scores(shared.value, total, n) < THRESHOLD))
 
-    return docs.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(freed(accept), docs.schema)

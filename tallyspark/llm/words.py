@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -97,25 +97,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about most bytes of text each, at least one row, so a task's memory
-    depends on neither Spark's batch size nor the lengths of the texts around a long one. What Arrow
-    and the C library hold back for later is given back at the end, as workers outlive their tasks."""
-    try:
-        yield from _portions(batches, column, most)
-    finally:
-        released()
-
-
-def released() -> None:
-    """Memory that is free in this process goes back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not every C library has it
-        pass
-
-
-def _portions(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    depends on neither Spark's batch size nor the lengths of the texts around a long one."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         end, first = np.cumsum(size), 0
@@ -124,3 +106,21 @@ def _portions(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
             stop = max(first + 1, int(np.searchsorted(end, done + most, side="right")))
             yield batch.slice(first, stop - first)
             first = stop
+
+
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work() for mapInArrow, after which what Arrow and the C library hold back for later goes back to
+    the system, as Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return run
