@@ -11,6 +11,7 @@ from tallyspark.catalogue import query
 from tallyspark.functions.dates import time_grain
 from tallyspark.operators import series, trading
 from tallyspark.sources import table, upsert
+from tallyspark.streaming.series import windowed
 
 _TRADES = "SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN -value ELSE value END AS pnl FROM events WHERE event_type IN ('purchase', 'error')"
 _RUNNING = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
@@ -126,3 +127,46 @@ def ts_trend_facts(spark, d):
     w = Window.partitionBy("key").orderBy("period")
     points = _monthly(spark, d).withColumn("before", F.lag("value").over(w))
     return points.groupBy("key").agg((F.min_by("value", "period") < F.max_by("value", "period")).alias("rising"), F.count_if(F.col("value") > F.col("before")).alias("ups"))
+
+
+@query("SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def s_windowed(spark, d):
+    """Daily windows of events, by the function that also runs as a stream."""
+    out = windowed(table(spark, d, "events"))
+    return out.select("event_type", F.date_format("period", "yyyy-MM-dd").alias("period"), "n", F.round("total", 4).alias("total"))
+
+
+_CACHED = "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query(f"SELECT *, CASE WHEN period < '2024-01-16' THEN 'cached' ELSE 'computed' END AS origin FROM ({_CACHED})")
+def s_cache_aside(spark, d):
+    """A series from its cached points; only the periods that the cache lacks are computed from the events."""
+    events = table(spark, d, "events").withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
+    points = lambda rows: rows.groupBy("event_type", "period").agg(F.round(F.sum("value"), 4).alias("total"))
+    cache = points(events.filter("period < '2024-01-16'")).withColumn("origin", F.lit("cached"))
+    missing = events.join(F.broadcast(cache.select("period").distinct()), "period", "left_anti")
+    return cache.unionByName(points(missing).withColumn("origin", F.lit("computed")))
+
+
+@query(f"SELECT period, total FROM ({_CACHED}) WHERE event_type = 'purchase' AND period BETWEEN '2024-01-05' AND '2024-01-09'")
+def s_lookup(spark, d):
+    """A stretch of one series, by its key."""
+    points = table(spark, d, "events").withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
+    found = points.filter((F.col("event_type") == "purchase") & F.col("period").between("2024-01-05", "2024-01-09"))
+    return found.groupBy("period").agg(F.round(F.sum("value"), 4).alias("total"))
+
+
+#: Measures by the phrases that ask for them.
+MEASURES = {"total price": "sum", "average price": "avg", "number of orders": "count"}
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'sum' WHEN 1 THEN 'avg' WHEN 2 THEN 'count' END AS measure FROM orders")
+def s_measure(spark, d):
+    """The measure whose phrase a request holds; the longest phrase wins, none is null."""
+    k = F.col("o_orderkey") % 4
+    asked = F.when(k == 0, "show the total price by month").when(k == 1, "Average price, please").when(k == 2, "number of orders per total").otherwise("hello")
+    out = F.lit(None).cast("string")
+    for phrase, measure in sorted(MEASURES.items(), key=lambda p: len(p[0])):
+        out = F.when(F.lower(asked).contains(phrase), measure).otherwise(out)
+    return table(spark, d, "orders").select("o_orderkey", out.alias("measure"))
