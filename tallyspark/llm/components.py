@@ -2,35 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.tables import saved
+from tallyspark.llm.words import freed
+
+#: Edges that a task turns into stars at a time.
+TASK_EDGES = 1_000_000
+#: A node on more than this share of all edges is a hub; there are at most 2 * HUBS.
+HUBS = 1000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node it reaches) that connect the same nodes as the edges (u, v)."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        least = np.minimum(root[a], root[b])
+        hooked = root.copy()
+        np.minimum.at(hooked, root[a], least)
+        np.minimum.at(hooked, root[b], least)
+        while (hooked[hooked] != hooked).any():
+            hooked = hooked[hooked]
+        if (hooked == root).all():
+            own = root != np.arange(len(names))
+            return names[own], names[root[own]]
+        root = hooked
+
+
+def _starred(edges: DataFrame, most: int) -> DataFrame:
+    """(u, v) with v < u: the edges (u, v) of each task as stars, `most` edges at a time."""
 
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+        def rows() -> pa.RecordBatch:
+            node, root = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(np.asarray(batch.column(k), dtype=np.int64) for k in ("u", "v")))
+            size += batch.num_rows
+            if size >= most:
+                size = 0
+                yield rows()
+        if held:
+            yield rows()
+
+    return edges.mapInArrow(freed(turn), "u long, v long")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES, hubs: int = HUBS) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches.
 
-    Every round points each node at the smallest node around it and around
-    those it points at (alternating large and small stars), so chains halve; a
-    round without a change ends it. Edges are kept in tables of their own.
+    Edges with a null end or equal ends connect nothing. First each task turns its edges into
+    stars. Then every round points each node at the smallest node around it and around those it
+    points at (alternating large and small stars), so chains halve; a round without a change
+    ends it. Edges are kept in tables of their own. Edges of a hub meet what is known of it by
+    broadcast, which has at most 2 * hubs rows, so no task gets all edges of one node.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    pairs = saved(pairs, "edges")
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b")
+    pairs = saved(_starred(pairs, task_edges).distinct(), "edges")
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # done when every node has one edge, to a root
-        open_ = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() or new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        pairs = new
-        if not open_:
+        hub = pairs.count() / hubs
+        near = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        # done when every node has one edge, to a root: a node above another is a leaf
+        if not near.filter("m < u and n > 1").limit(1).count():
             break
+        least = near.select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges")
+        hub = large.count() / hubs
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, hub).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _with_least(rows: DataFrame, least: DataFrame, hub: float) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n); nodes on more than hub edges are joined by broadcast."""
+    hot = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    cold = least.filter(F.col("n") <= hub).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
