@@ -79,11 +79,11 @@ def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_E
         if not near.filter("m < u and n > 1").limit(1).count():
             break
         least = near.select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_hubs(both.filter("v > u"), least, "u", hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges")
         hub = large.count() / hubs
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, hub).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_hubs(large, least, "u", hub).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
@@ -91,8 +91,9 @@ def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_E
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _with_least(rows: DataFrame, least: DataFrame, hub: float) -> DataFrame:
-    """rows (u, v) with m of least (u, m, n); nodes on more than hub edges are joined by broadcast."""
-    hot = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
-    cold = least.filter(F.col("n") <= hub).select("u", "m")
-    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
+def with_hubs(rows: DataFrame, facts: DataFrame, key: str, hub: float) -> DataFrame:
+    """rows joined with facts, which has one row of each key and in n how many rows have it. Keys on more
+    than hub rows, at most rows / hub of them, are joined by broadcast and don't meet in one task."""
+    hot = F.broadcast(facts.filter(F.col("n") > hub).drop("n"))
+    cold = facts.filter(F.col("n") <= hub).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

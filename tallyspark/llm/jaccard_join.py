@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.components import components
+from tallyspark.llm.components import HUBS, components, with_hubs
 from tallyspark.llm.tables import saved
 from tallyspark.llm.words import SPACED, freed, hashes, portions, split, windows
 
@@ -471,9 +471,9 @@ def _clustered(docs: DataFrame, n: int) -> DataFrame:
     found = saved(cells(docs, frequent, buckets, True, n), "jaccard-cells")
     edges = saved(candidate_edges(found, known.select("node", "n_shingles")), "jaccard-edges")
 
-    regions = components(edges).select("node", F.col("component").alias("region"))
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("sets"))
-    wanted = saved(known.join(regions, "node").join(sizes, "region").select("region", "node", "rep", "sets"), "jaccard-wanted")
+    regions = saved(components(edges).select("node", F.col("component").alias("region")), "jaccard-regions")
+    sizes = saved(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).withColumn("sets", F.col("n")), "jaccard-sizes")
+    wanted = saved(with_hubs(known.join(regions, "node"), sizes, "region", regions.count() / HUBS).select("region", "node", "rep", "sets"), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("_text"))
     some = F.broadcast(wanted.filter("rep is not null")) if wanted.count() <= BROADCAST_IDS else wanted.filter("rep is not null")
     whole = texts.join(some, "rep").select("region", "node", "sets", "_text")
@@ -500,9 +500,9 @@ def _clustered(docs: DataFrame, n: int) -> DataFrame:
     if big.limit(1).count():
         label = label.unionByName(large_regions(big, parts))
     label = saved(label, "jaccard-label")
-    named = wanted.select("node", "rep").join(label, "node")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    resolved = named.join(smallest, "component").select("node", "component_id")
+    named = saved(wanted.select("node", "rep").join(label, "node"), "jaccard-named")
+    smallest = saved(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "jaccard-smallest")
+    resolved = with_hubs(named, smallest, "component", named.count() / HUBS).select("node", "component_id")
     ids = known.join(resolved, "node", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     return local.join(ids, "key", "left").select("key", "n_shingles", "component_id", F.explode("doc_ids").alias("doc_id"))
 
