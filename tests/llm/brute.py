@@ -60,3 +60,45 @@ def decontaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, st
                     found |= of
         out[doc] = (len(words), len(hit), sorted(found))
     return out
+
+
+def linked_sets(docs: list[tuple[int | None, str | None]], n: int, percent: int) -> list[tuple[int | None, int, int | None]]:
+    """(doc_id, set size, component) of each row, comparing every pair of rows; a component is named by its smallest id."""
+    sets = [shingles(t, n) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(a & b)
+            if a and b and 100 * common >= percent * (len(a) + len(b) - common):
+                parent[root(i)] = root(j)
+    least: dict = defaultdict(list)
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            least[root(i)].append(doc)
+    return [(doc, len(sets[i]), min(least[root(i)], default=None)) for i, (doc, _) in enumerate(docs)]
+
+
+def periodic_runs(words: list, exponent: int = 4, shortest: int = 6) -> list[tuple[int, int, int]]:
+    """(start, length, smallest period) of every run, trying every period."""
+    found = {}
+    for q in range(1, len(words) // exponent + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(shortest, exponent * q):
+                found.setdefault((i, length), q)
+            i = max(j, i) + 1
+    return sorted((s, m, q) for (s, m), q in found.items())
+
+
+def fim_tokens(text: str) -> list[str]:
+    return re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
