@@ -18,6 +18,11 @@ SENSITIVE = ["email", "phone", "mobile", "address", "password", "salary", "passp
 ABBREVIATIONS = {"acct": "account", "addr": "address", "amt": "amount", "bal": "balance", "cust": "customer", "dt": "date", "no": "number", "qty": "quantity", "supp": "supplier"}
 
 
+def bound(c: Column, f) -> Column:
+    """f of the value of c, which is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalized(c: Column) -> Column:
     """Lower case, _ and - as spaces, letters, digits and single spaces only."""
     c = F.regexp_replace(F.lower(c), r"[_\-]+", " ")

@@ -190,29 +190,71 @@ def d_steps(spark, d):
     return M.steps(_sections(spark, d))
 
 
-@query(f"""WITH s AS (SELECT doc_id, k, unnest(regexp_extract_all(content, '1\\. The [^\\n]* file shall be reviewed by the Branch Manager\\.')) AS a FROM {_SECTIONS}) SELECT doc_id, k, CAST(count(*) AS BIGINT) AS n, 'branch manager' AS actor FROM s GROUP BY 1, 2""")
+#: Sentences that name who acts, made of a line's own words: w1 and w2 are its first two, x is the line.
+_ACTING = [
+    ("The ", " Officer is responsible for "),
+    ("The ", " Unit is entrusted with "),
+    ("The form shall be signed by the ", " Manager before "),
+    ("In such cases, the ", " Team can advise on "),
+    ("The ", " Office, in coordination with the Audit Desk, shall prepare "),
+    ("It must be re-appraised by the ", " Board other than "),
+    ("The ", " file shall go with "),
+    ("", " "),
+]
+
+
+def _actions(spark, d):
+    """(doc_id, k, action): every line of each document as the action of somebody its first two words name."""
+    lines = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "x"))
+    name = F.array_join(F.slice(F.split("x", " "), 1, 2), " ")
+    forms = F.array(*[F.concat(F.lit(a), name, F.lit(b), F.col("x")) for a, b in _ACTING])
+    return lines.select("doc_id", "k", F.get(forms, ((F.col("doc_id") + F.col("k")) % len(_ACTING)).cast("int")).alias("action"))
+
+
+def _sql_actors():
+    found = ", ".join(f"list_transform(regexp_extract_all(a, '(?i){p}', {g}), lambda r: coalesce(r, ''))" for p, g, _ in M.ACTORS)
+    bare = "r"
+    for pattern in M.TRIMMED:
+        bare = f"regexp_replace({bare}, '{pattern}', '', 'g')"
+    rejected = ", ".join(f"'{x}'" for x in M.NO_ACTORS)
+    keep = f"list_filter(list_transform(flatten([{found}]), lambda r: trim({bare})), lambda r: len(r) >= 4 AND len(string_split(r, ' ')) <= 12 AND NOT list_contains([{rejected}], lower(r)))"
+    return f"""(WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+        a AS (SELECT doc_id, k, trim(regexp_replace([{", ".join(f"concat('{b}', array_to_string(string_split(x, ' ')[1:2], ' '), '{e}', x)" for b, e in _ACTING)}][(doc_id + k) % {len(_ACTING)} + 1], '\\s+', ' ', 'g')) AS a FROM l),
+        f AS (SELECT doc_id, k, {keep} AS f FROM a), g AS (SELECT doc_id, k, f, list_transform(f, lambda r: lower(r)) AS g FROM f)
+        SELECT doc_id, k, list_filter(list_filter(f, lambda r, i: list_position(g, lower(r)) = i), lambda r: len(list_filter(g, lambda s: s <> lower(r) AND contains(lower(r), s))) = 0) AS actors FROM g)"""
+
+
+@query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, array_to_string(actors, '|') AS actors FROM {_sql_actors()}")
 def d_actors(spark, d):
-    """Sections with the steps that name the manager who reviews."""
-    found = M.steps(_sections(spark, d)).filter(F.col("action").contains("file shall be reviewed by the Branch Manager.") & F.col("action").startswith("The "))
-    found = found.select("doc_id", "k", F.explode(M.actors(F.regexp_extract("action", r"(file shall be reviewed by the Branch Manager\.)", 1))).alias("actor"))
-    return found.filter("actor <> 'file'").groupBy("doc_id", "k", "actor").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "k", "n", "actor")
+    """Who acts, in every action."""
+    return _actions(spark, d).select("doc_id", "k", F.array_join(M.actors(F.col("action")), "|").alias("actors"))
 
 
-_FLAT = "trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))"
+@query(f"SELECT actor, CAST(count(*) AS BIGINT) AS actions, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM (SELECT doc_id, lower(unnest(actors)) AS actor FROM {_sql_actors()}) GROUP BY 1")
+def d_actor_counts(spark, d):
+    """How many actions and documents name each actor. Actions are counted by document before they meet by actor."""
+    named = _actions(spark, d).select("doc_id", F.explode(M.actors(F.col("action"))).alias("actor"))
+    by_document = named.groupBy(F.lower("actor").alias("actor"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_document.groupBy("actor").agg(F.sum("n").alias("actions"), F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"""SELECT doc_id, k, CASE WHEN regexp_matches(lower(title), '{M.CONTEXT_TITLES}') THEN regexp_matches({_FLAT}, '{M.ASSIGNING}') ELSE regexp_matches({_FLAT}, '{M.ASSIGNING}') OR regexp_matches({_FLAT}, '{M.NORMATIVE}') END AS direct FROM {_SECTIONS}""")
+_EVIDENCE = f"""(SELECT doc_id, k, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS h, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS t FROM {_SECTIONS})"""
+
+
+@query(f"""SELECT doc_id, k, CASE WHEN regexp_matches(h, '{M.CONTEXT_TITLES}') THEN regexp_matches(t, '{'|'.join(M.ASSIGNING)}') ELSE regexp_matches(t, '{'|'.join(M.ASSIGNING)}') OR regexp_matches(t, '{'|'.join(M.NORMATIVE)}') END AS direct FROM {_EVIDENCE}""")
 def d_role_evidence(spark, d):
     """Direct or supporting evidence."""
-    return _sections(spark, d).select("doc_id", "k", M.is_direct(F.col("title"), F.col("content")).alias("direct"))
+    return M.evidence(_sections(spark, d)).select("doc_id", "k", "direct")
 
 
-_OPS = " + ".join(f"CASE WHEN regexp_matches({_FLAT}, '{p}') THEN 1 ELSE 0 END" for p in M.OPERATIONS)
+_OPS = " + ".join(f"CASE WHEN regexp_matches(t, '\\b{p}\\b') THEN 1 ELSE 0 END" for p in M.OPERATIONS)
+_ACTIVE = " + ".join(f"CASE WHEN contains(t, '{a}') THEN 1 ELSE 0 END" for a in M.ACTIVITIES)
 
 
-@query(f"""SELECT doc_id, k, NOT (regexp_matches({_FLAT}, '{M.NO_PROCEDURE}') OR regexp_matches(lower(title), '\\bauthority\\s+and\\s+responsibilit')) AND (regexp_matches({_FLAT}, '{M.SEQUENCE}') OR (len(regexp_extract_all({_FLAT}, '{M.NUMBERED}')) >= 2 AND {_OPS} >= 2)) AS procedure FROM {_SECTIONS}""")
+@query(f"""SELECT doc_id, k, t <> '' AND NOT (regexp_matches(t, '{'|'.join(M.NO_PROCEDURE)}') OR regexp_matches(h, '{M.NO_PROCEDURE_TITLE}')) AND (regexp_matches(t, '{'|'.join(M.SEQUENCE)}')
+    OR (len(regexp_extract_all(t, '{M.NUMBERED}')) >= 2 AND {_OPS} >= 2) OR (regexp_matches(t, '{M.PROCESS}') AND {_ACTIVE} >= 3)) AS procedure FROM {_EVIDENCE}""")
 def d_procedural(spark, d):
-    return _sections(spark, d).select("doc_id", "k", M.is_procedure(F.col("title"), F.col("content")).alias("procedure"))
+    return M.evidence(_sections(spark, d)).select("doc_id", "k", "procedure")
 
 
 @query(f"""WITH s AS (SELECT doc_id, k, title, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS key FROM {_SECTIONS} WHERE len(title) BETWEEN 2 AND 120 AND len(string_split(title, ' ')) <= 12) SELECT doc_id, key, first(title ORDER BY k) AS title, CAST(min(k) AS INTEGER) AS k FROM s GROUP BY 1, 2""")

@@ -31,10 +31,58 @@ def test_steps(spark, content, want):
     assert steps(spark, content) == want
 
 
-def test_actors(spark):
-    text = ["The file shall be reviewed by the Branch Manager.", "Credit Team must submit it in coordination with the Audit Office.", "Nothing here.", "It shall be signed by the bank."]
-    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").orderBy("i").select(documents.actors(F.col("t"))).collect()]
-    assert got[0] == ["branch manager", "file"] and got[1] == ["audit office", "credit team"] and got[2] == [] and "bank" not in got[3]
+@pytest.mark.parametrize(
+    "action,want",
+    [
+        ("The file shall be reviewed by the Branch Manager.", ["Branch Manager"]),
+        ("The form shall be signed by the Branch Manager before release.", ["Branch Manager"]),
+        ("Contracts shall always be designed by the Legal Service Department, as agreed.", ["Legal Service Department"]),
+        ("It must be re-appraised by the Credit Board other than the first one.", ["Credit Board"]),
+        ("The Credit Officer is responsible for file review.", ["Credit Officer"]),
+        ("A designated Case Team or individual/jointly named is responsible to keep it.", ["Case Team"]),
+        ("The Audit Unit is entrusted with loan monitoring.", ["Audit Unit"]),
+        ("In such cases, the Risk Team can advise on it.", ["Risk Team"]),
+        ("However, if late, the responsible Loan Officer, in coordination with the Legal Office, shall prepare a note.", ["Loan Officer", "Legal Office"]),
+        ("Credit Team must submit it in coordination with the Audit Office.", ["Credit Team", "Audit Office"]),
+        ("The Branch Manager shall approve. It shall be signed by the Senior Branch Manager.", ["Branch Manager"]),
+        ("The officer shall go home.", []),
+        ("It shall be signed by the bank.", []),
+        ("Nothing here.", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_actors(spark, action, want):
+    assert sorted(spark.createDataFrame([(action,)], "t string").select(documents.actors(F.col("t"))).first()[0]) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "title,content,direct,procedure",
+    [
+        ("Steps", "First the file is opened, and then it is sent.", False, True),
+        ("Steps", "Step one is the review.", False, True),
+        ("Any", "Staff are expected to\n know it.", True, False),
+        ("Any", "Officers are accountable for it; their duty is clear.", True, False),
+        ("Scope", "Staff shall know it.", False, False),
+        ("Scope of it", "They have the following responsibilities.", True, False),
+        ("Any", "1. It shall be reviewed. 2. It shall be approved within 5 days.", True, True),
+        ("Any", "1. It shall be reviewed. 2. It shall be reviewed.", True, False),
+        ("Any", "1. Sent within 3 days. 2. Sent within 5 days.", False, False),
+        ("Any", "The credit process shall cover appraisal, approval and recovery.", True, True),
+        ("Any", "The objective of it: step 1.", False, False),
+        ("Authority  and responsibilities", "Step 1. It shall be sent.", True, False),
+        (None, None, False, False),
+    ],
+)
+def test_evidence(spark, title, content, direct, procedure):
+    rows = spark.createDataFrame([(1, 0, title, content)], "doc_id long, k int, title string, content string")
+    got = documents.evidence(rows).first()
+    assert (got["direct"], got["procedure"]) == (direct, procedure)
+
+
+def test_steps_have_no_limit(spark):
+    many = "\n".join(f"{i % 99 + 1}. Step that is done" for i in range(10_500))
+    assert len(steps(spark, many)) == 10_500
 
 
 def test_sections_and_chunks_of_odd_texts(spark):
