@@ -14,10 +14,14 @@
 4. Exact verification. What survives is compared on whole shingle sets: first each node's
    likeliest pair, then what that left in different components.
 5. Buckets whose members are now in several components have pairs that no centre has
-   decided. In buckets of up to FEW members they are candidates; in larger ones what is
-   outside the bucket's largest component is compared with all of it in blocks of BLOCK
-   by BLOCK signatures, each block a group of its own, and only survivors leave a block.
-   Both go through steps 3 and 4, so a bucket of any size is worked through whole.
+   decided. In buckets of up to FEW members they are candidates for steps 3 and 4. In
+   larger ones what is outside the bucket's largest component is compared with all of it
+   in blocks of BLOCK by BLOCK signatures, each block a group of its own. A block gives
+   no pairs but a spanning forest of those not pruned; the forests' components are crowds,
+   and every undecided pair is within one. A crowd is verified like a bucket, what is
+   outside its largest component against all of it, in blocks of whole sets, and a block
+   gives at most a link less than it has components. So a bucket of any size is worked
+   through whole, and no table has a row for each pair of a group.
 
 Links are confirmed on full sets, so none is wrong; one is missed with the chance that
 `miss` and the bands leave.
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import HUBS, components, with_hubs
-from tallyspark.llm.jaccard_join import BROADCAST_IDS, TASK_SHINGLES, _grouped, set_key, shingle_sets
+from tallyspark.llm.jaccard_join import BROADCAST_IDS, TASK_SHINGLES, Sets, _grouped, set_key, shingle_sets
 from tallyspark.llm.tables import saved
 from tallyspark.llm.words import freed, joined, portions
 
@@ -56,6 +60,8 @@ BATCH = 48
 #: Chance of a linked pair to be pruned, at each look.
 MISS = 1e-9
 FEW, BLOCK = 32, 256
+#: Shingles of a block of whole sets.
+WEIGHT = 200_000
 SEED = 12
 
 
@@ -263,39 +269,91 @@ def settled(near: DataFrame, known: DataFrame, docs: DataFrame, links: DataFrame
     return saved(sure.unionByName(confirmed(rest, texts, n)), "minhash-links")
 
 
-def _blocks(crowd: DataFrame, known: DataFrame, miss: float) -> DataFrame:
-    """(a, b, equal) of the surviving pairs of nodes of different components in buckets of more than FEW members.
+def _dealt(rows: DataFrame, group: str, extra: list[str], per_block: int, weights: str | None = None) -> DataFrame:
+    """(group, x, y, open, node, label, *extra): the saved rows of groups of several labels, so dealt that each row
+    outside its group's largest label (open) meets every row of the group in one group of (group, x, y).
 
-    crowd is (bucket, node, l_node). What is outside a bucket's largest component, in blocks, meets each block of all."""
-    plan = looks(miss)
-
-    def meet(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        is_open = np.array(group.column("open").to_pylist(), bool)
-        node, label = (np.array(group.column(c).to_pylist(), np.int64) for c in ("node", "l_node"))
-        low = _matrix(group.column("signature"))
-        home = np.flatnonzero(~is_open)
-        for i in np.flatnonzero(is_open):
-            other = home[label[home] != label[i]]
-            alive, equal = surviving(np.broadcast_to(low[i], (len(other), MINIMA)), low[other], plan)
-            found = node[other[alive]]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i])), pa.array(equal)], ["a", "b", "equal"])
-
-    spark = crowd.sparkSession
-    sizes = crowd.groupBy("bucket", "l_node").agg(F.count(F.lit(1)).alias("_m"))
-    sizes = sizes.groupBy("bucket").agg(F.max_by("l_node", F.struct("_m", "l_node")).alias("core"), F.max("_m").alias("most"), F.sum("_m").alias("n"))
-    sizes = saved(sizes.withColumn("members", F.col("n")), "minhash-crowds")
-    placed = with_hubs(crowd, sizes, "bucket", crowd.count() / HUBS).filter("members > most")
-    placed = placed.join(known.select("node", "signature"), "node").withColumn("open", F.col("l_node") != F.col("core"))
-    all_blocks, open_blocks = F.ceil(F.col("members") / BLOCK), F.ceil((F.col("members") - F.col("most")) / BLOCK)
-    own = [F.pmod(F.xxhash64(F.lit(i), "node"), k) for i, k in enumerate((all_blocks, open_blocks))]
-    each = [F.explode(F.sequence(F.lit(0).cast("long"), k - 1)) for k in (all_blocks, open_blocks)]
-    kinds = ["bucket", "node", "l_node", "signature"]
+    A block has about per_block rows or, with weights, as many as weigh that much if those are fewer."""
+    spark = rows.sparkSession
+    weight = F.col(weights) if weights else F.lit(0)
+    sizes = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("_m"), F.sum(weight).alias("_w"))
+    sizes = sizes.groupBy(group).agg(
+        F.max_by("label", F.struct("_m", "label")).alias("core"), F.max(F.struct("_m", "label"))["_m"].alias("most"), F.sum("_m").alias("n"), F.sum("_w").alias("weight"), F.max_by("_w", F.struct("_m", "label")).alias("core_weight")
+    )
+    sizes = saved(sizes.withColumn("members", F.col("n")).filter("members > most"), "minhash-sizes")
+    placed = with_hubs(rows, sizes, group, rows.count() / HUBS).withColumn("open", F.col("label") != F.col("core"))
+    blocks = []
+    for count, load in ((F.col("members"), F.col("weight")), (F.col("members") - F.col("most"), F.col("weight") - F.col("core_weight"))):
+        blocks.append(F.greatest(F.ceil(count / per_block), F.ceil(load / WEIGHT), F.lit(1)))
+    own = [F.pmod(F.xxhash64(F.lit(i), "node"), k) for i, k in enumerate(blocks)]
+    each = [F.explode(F.sequence(F.lit(0).cast("long"), k - 1)) for k in blocks]
+    kinds = [group, "node", "label", *extra]
     home = placed.select(*kinds, F.lit(False).alias("open"), own[0].alias("x"), each[1].alias("y"))
     away = placed.filter("open").select(*kinds, F.lit(True).alias("open"), each[0].alias("x"), own[1].alias("y"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = home.unionByName(away).repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(freed(lambda b: _grouped(b, ["bucket", "x", "y"], meet)), "a long, b long, equal long").distinct()
+    return home.unionByName(away).repartition(parts, group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def _of_block(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, label, rows that are open, all others) of a block."""
+    is_open = np.array(group.column("open").to_pylist(), bool)
+    node, label = (np.array(group.column(c).to_pylist(), np.int64) for c in ("node", "label"))
+    return node, label, np.flatnonzero(is_open), np.flatnonzero(~is_open)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def crowds(rows: DataFrame, known: DataFrame, miss: float = MISS) -> DataFrame:
+    """(node, component): the undecided nodes of the saved bucket members (bucket, node, label), by crowd."""
+    plan = looks(miss)
+
+    def sift(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, label, away, home = _of_block(group)
+        low = _matrix(group.column("signature"))
+        place = np.searchsorted(np.unique(node), node)
+        crowd = np.arange(len(node))  # by place
+        found = []
+        for i in away:
+            # what is in i's crowd already needs no look
+            other = home[(label[home] != label[i]) & (crowd[place[home]] != crowd[place[i]])]
+            alive, _ = surviving(np.broadcast_to(low[i], (len(other), MINIMA)), low[other], plan)
+            for j in other[alive]:
+                x, y = crowd[place[i]], crowd[place[j]]
+                if x != y:
+                    found.append((int(node[i]), int(node[j])))
+                    crowd[crowd == y] = x
+        yield _edges(found)
+
+    rows = saved(rows.join(known.select("node", "signature"), "node"), "minhash-signed")
+    dealt = _dealt(rows, "bucket", ["signature"], BLOCK)
+    return components(dealt.mapInArrow(freed(lambda b: _grouped(b, ["bucket", "x", "y"], sift)), "a long, b long"))
+
+
+def crowd_links(members: DataFrame, n: int = N) -> DataFrame:
+    """(a, b): links between labels that connect what links the saved members (crowd, node, label, n_shingles, text)."""
+
+    def compare(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, label, away, home = _of_block(group)
+        sets = Sets(shingle_sets(group.column("text"), n))
+        names, own = np.unique(label, return_inverse=True)
+        found = []
+        for i in away:
+            size = int(sets.size[i])
+            fits = HUNDRED * np.minimum(sets.size[home], size) >= PERCENT * np.maximum(sets.size[home], size)
+            other = home[(own[home] != own[i]) & fits]
+            if not len(other):
+                continue
+            common = sets.common(int(i))[other]
+            for j in np.unique(own[other[HUNDRED * common >= PERCENT * (size + sets.size[other] - common)]]):
+                if j != own[i]:
+                    found.append((int(names[own[i]]), int(names[j])))
+                    own[own == j] = own[i]
+        yield _edges(found)
+
+    dealt = _dealt(members, "crowd", ["text"], BLOCK, "n_shingles")
+    return dealt.mapInArrow(freed(lambda b: _grouped(b, ["crowd", "x", "y"], compare)), "a long, b long")
 
 
 def clustered(docs: DataFrame, n: int = N, miss: float = MISS) -> DataFrame:
@@ -324,14 +382,17 @@ def clustered(docs: DataFrame, n: int = N, miss: float = MISS) -> DataFrame:
     right = left.select("bucket", F.col("node").alias("other"), F.col("l_node").alias("l_other"))
     more = left.join(right, "bucket").filter("node < other and l_node <> l_other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     more = saved(more.join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
-    late = sifted(more, known, miss)
-    hot = several.filter(F.col("n") > FEW)
-    if hot.limit(1).count():
-        crowd = saved(with_hubs(labelled.select("bucket", "node", "l_node"), hot.select("bucket", "n"), "bucket", known.count() * BANDS / HUBS), "minhash-crowd")
-        late = late.unionByName(_blocks(crowd, known, miss))
-    late = saved(late.distinct(), "minhash-near")
+    late = saved(sifted(more, known, miss), "minhash-near")
     if late.limit(1).count():
         links = settled(late, known, docs, links, n)
+    hot = several.filter(F.col("n") > FEW)
+    if hot.limit(1).count():
+        label = components(links)
+        crowd = with_hubs(members.select("bucket", "node"), hot.select("bucket", "n"), "bucket", known.count() * BANDS / HUBS)
+        crowd = saved(_labelled(crowd, label, "node").withColumnRenamed("l_node", "label"), "minhash-crowd")
+        of = saved(known.select("key", "node", "n_shingles").join(crowds(crowd, known, miss).withColumnRenamed("component", "crowd"), "node"), "minhash-wanted")
+        whole = _labelled(of.drop("key").join(_texts(docs, of.select("key", "node"), n), "node"), label, "node").withColumnRenamed("l_node", "label")
+        links = saved(links.unionByName(crowd_links(saved(whole, "minhash-texts"), n)), "minhash-links")
 
     label = saved(components(links), "minhash-label")
     named = saved(known.select("node", "rep").join(label, "node"), "minhash-named")
