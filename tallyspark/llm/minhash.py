@@ -203,7 +203,8 @@ def sifted(pairs: DataFrame, known: DataFrame, miss: float = MISS) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, text): one text of each of the saved nodes wanted (key, node)."""
+    """(node, text): one text of each of the saved nodes wanted (key, node, rep). Only rows with a node's rep for
+    their id are read through, and rows without an id where a node has no rep."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -215,9 +216,13 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text")], ["key", "text"]).filter(pa.array(first, pa.bool_()))
 
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(freed(keyed), "key binary, text binary")
-    return found.join(some, "key").groupBy("node").agg(F.first("text").alias("text"))
+    small = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda rows: rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
+    own = rows.join(small(wanted.select("rep").filter("rep is not null").distinct()), "rep", "left_semi")
+    if wanted.filter("rep is null").limit(1).count():
+        own = own.unionByName(rows.filter("rep is null"))
+    found = own.select("text").mapInArrow(freed(keyed), "key binary, text binary")
+    return found.join(small(wanted.select("key", "node")), "key").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
@@ -257,7 +262,7 @@ def settled(near: DataFrame, known: DataFrame, docs: DataFrame, links: DataFrame
     """Saved links (a, b) after exact verification of the saved pairs near (a, b, equal): links and a set of
     new ones that connects what near connects."""
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = saved(known.select("key", "node").join(nodes, "node"), "minhash-wanted")
+    wanted = saved(known.select("key", "node", "rep").join(nodes, "node"), "minhash-wanted")
     texts = saved(_texts(docs, wanted, n), "minhash-texts")
     ends = near.select(F.col("a").alias("node"), "a", "b", "equal").unionByName(near.select(F.col("b").alias("node"), "a", "b", "equal"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("p"))
@@ -390,8 +395,8 @@ def clustered(docs: DataFrame, n: int = N, miss: float = MISS) -> DataFrame:
         label = components(links)
         crowd = with_hubs(members.select("bucket", "node"), hot.select("bucket", "n"), "bucket", known.count() * BANDS / HUBS)
         crowd = saved(_labelled(crowd, label, "node").withColumnRenamed("l_node", "label"), "minhash-crowd")
-        of = saved(known.select("key", "node", "n_shingles").join(crowds(crowd, known, miss).withColumnRenamed("component", "crowd"), "node"), "minhash-wanted")
-        whole = _labelled(of.drop("key").join(_texts(docs, of.select("key", "node"), n), "node"), label, "node").withColumnRenamed("l_node", "label")
+        of = saved(known.select("key", "node", "rep", "n_shingles").join(crowds(crowd, known, miss).withColumnRenamed("component", "crowd"), "node"), "minhash-wanted")
+        whole = _labelled(of.drop("key", "rep").join(_texts(docs, of.select("key", "node", "rep"), n), "node"), label, "node").withColumnRenamed("l_node", "label")
         links = saved(links.unionByName(crowd_links(saved(whole, "minhash-texts"), n)), "minhash-links")
 
     label = saved(components(links), "minhash-label")
