@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that each role may see.
@@ -52,15 +52,26 @@ def decision(blocking: list[Column], confidence: Column, complete: Column) -> Co
     return F.when(~passed, "blocked").when((confidence < LEAST_CONFIDENCE) | ~complete, "requires_clarification").otherwise("approved")
 
 
+MOST_ROLES = 100
+
+
 def governed(rows: DataFrame, roles: DataFrame, order: list[str], scope: str | None = None) -> DataFrame:
     """The rows each role of (role, classification, aggregate, sensitive[, branch]) gets: none unless both
     checks pass, of its own branch where scope names a column and branch is set, the first by order up to
-    its limit. Roles are few, one row each, so they are broadcast."""
+    its limit. Roles are settings, one row each and at most MOST_ROLES. For each role a task keeps no
+    more rows than its limit, so rows are neither multiplied by roles nor gathered by one."""
     allowed = roles.filter(may_see_class(F.col("role"), F.col("classification"), F.col("aggregate")) & may_see_columns(F.col("role"), F.col("sensitive")))
-    within = F.lit(True) if scope is None else F.col("branch").isNull() | (F.col(scope) == F.col("branch"))
-    joined = rows.join(F.broadcast(allowed), within)
-    place = F.row_number().over(Window.partitionBy("role").orderBy(*order))
-    return joined.withColumn("place", place).filter(F.col("place") <= row_limit(F.col("role"))).drop("place")
+    known = allowed.withColumn("_most", row_limit(F.col("role"))).limit(MOST_ROLES + 1).collect()
+    if len(known) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} roles")
+    types = {f.name: f.dataType for f in roles.schema}
+    parts = []
+    for role in known:
+        own = rows if scope is None or role["branch"] is None else rows.filter(F.col(scope) == F.lit(role["branch"]))
+        first = own.orderBy(*order).limit(int(role["_most"] or 0))
+        parts.append(first.select("*", *[F.lit(role[c]).cast(t).alias(c) for c, t in types.items()]))
+    nobody = rows.limit(0).select("*", *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
+    return reduce(DataFrame.unionByName, parts, nobody)
 
 
 def governance_role(names: Column) -> Column:

@@ -8,6 +8,7 @@ from tallyspark.catalogue import query
 from tallyspark.functions.text import bound
 from tallyspark.operators import conversation as C
 from tallyspark.operators import grounding as G
+from tallyspark.operators.discovery import exactly_one
 from tallyspark.plans.web import _sql_text, page_text
 from tallyspark.sources import table
 
@@ -148,3 +149,25 @@ def n_contexts(spark, d):
     """What each conversation asks for after each of its requests."""
     out = C.contexts(_prompts(spark, d))
     return out.withColumn("filters", F.array_join(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
+
+
+_TITLED = f"(SELECT doc_id, lower(array_to_string({_W}[1:3], ' ')) AS title, lower(concat({_W}[2], '-', source, '.pdf')) AS filename, doc_id % 3 = 0 AS ready FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH d AS {_TITLED}, h AS (SELECT doc_id, list_distinct(regexp_extract_all(concat_ws(' ', title, filename), '[a-z0-9]+')) AS held FROM d),
+    q AS (SELECT doc_id AS query_id, trim(lower(CASE doc_id % 3 WHEN 0 THEN array_to_string({_W}[1:3], ' ') WHEN 1 THEN concat({_W}[2], '-', source, '.pdf') ELSE array_to_string({_W}[2:3], ' ') END)) AS name FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT *, list_distinct(regexp_extract_all(name, '[a-z0-9]+')) AS words FROM q),
+    n AS (SELECT doc_id, ready, unnest(list_distinct([trim(title), trim(filename)])) AS name FROM d),
+    b AS (SELECT name, count(*) AS exact, count_if(ready) AS ready, min(doc_id) AS one, min(doc_id) FILTER (WHERE ready) AS one_ready FROM n WHERE name <> '' GROUP BY 1),
+    e AS (SELECT w.query_id, words, coalesce(exact, 0) AS exact, ready, one, one_ready FROM w LEFT JOIN b ON w.name = b.name),
+    c AS (SELECT query_id, count(*) AS n, min(doc_id) AS only_one FROM (SELECT DISTINCT e.query_id, h.doc_id FROM (SELECT query_id, words, words[1] AS first FROM e WHERE exact = 0 AND len(words) > 0) e JOIN (SELECT doc_id, held, unnest(held) AS x FROM h) h ON h.x = e.first AND list_has_all(h.held, e.words)) GROUP BY 1),
+    r AS (SELECT e.*, CASE WHEN exact > 0 THEN exact ELSE coalesce(n, 0) END AS candidates, CASE WHEN exact = 1 THEN one WHEN exact > 1 AND ready = 1 THEN one_ready WHEN exact = 0 AND n = 1 THEN only_one END AS doc_id FROM e LEFT JOIN c ON e.query_id = c.query_id)
+    SELECT query_id, CASE WHEN doc_id IS NOT NULL THEN 'resolved' WHEN candidates = 0 THEN 'not_found' ELSE 'ambiguous' END AS status, doc_id, CAST(exact AS BIGINT) AS exact, CAST(candidates AS BIGINT) AS candidates FROM r""")
+def d_exactly_one(spark, d):
+    """One query a document, by its title, its file name or a part of its title: which document each means, if one."""
+    docs = table(spark, d, "documents").filter("text is not null").withColumn("w", F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " "))
+    title, second = F.array_join(F.slice("w", 1, 3), " "), F.coalesce(F.get("w", F.lit(1)), F.lit(""))
+    filename = F.concat(second, F.lit("-"), F.coalesce("source", F.lit("")), F.lit(".pdf"))
+    part = F.array_join(F.slice("w", 2, 2), " ")
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, title).when(F.col("doc_id") % 3 == 1, filename).otherwise(part).alias("query"))
+    return exactly_one(queries, docs.select("doc_id", title.alias("title"), filename.alias("filename"), (F.col("doc_id") % 3 == 0).alias("ready")))

@@ -57,22 +57,24 @@ def w_sections(spark, d):
 #: Endings of what is no page.
 NO_PAGES = "jpg jpeg png gif svg webp css js zip rar 7z mp4 mp3 wav avi mov woff woff2 ttf".split()
 _ENDING = rf"(?i)\.({'|'.join(NO_PAGES)})$"
-MOST_LINKS = 80
+#: What parts of an address are no page of their own: what follows the last slash of its path.
+_PAGE = r"^(https?://[^/?#]+)(/(?:[^?#]*/)?)?.*$"
 
 
-@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, regexp_extract_all(html, 'href=["'']([^"'']+)', 1) AS refs FROM pages),
-    l AS (SELECT page_id, host, list_transform(refs, lambda x: regexp_replace(CASE WHEN regexp_matches(x, '^[a-z]+:') THEN x WHEN starts_with(x, '//') THEN concat(scheme, ':', x) WHEN starts_with(x, '/') THEN concat(scheme, '://', host, x) ELSE concat(scheme, '://', host, '/', x) END, '#.*$', '')) AS links FROM p),
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '{_PAGE}', 2), ''), '/') AS folder, regexp_extract_all(html, 'href=["'']([^"'']+)', 1) AS refs FROM pages),
+    l AS (SELECT page_id, host, list_transform(refs, lambda x: regexp_replace(CASE WHEN regexp_matches(x, '^[a-z]+:') THEN x WHEN starts_with(x, '//') THEN concat(scheme, ':', x) WHEN starts_with(x, '/') THEN concat(scheme, '://', host, x) ELSE concat(scheme, '://', host, folder, x) END, '#.*$', '')) AS links FROM p),
     k AS (SELECT page_id, list_filter(links, lambda x: lower(regexp_extract(x, '^https?://([^/?#:]*)', 1)) = host AND host <> '' AND NOT regexp_matches(regexp_replace(x, '[?].*$', ''), '{_ENDING}')) AS links FROM l)
     SELECT page_id, array_to_string(list_sort(list_distinct(links)), ' ') AS links FROM k""")
 def w_internal_links(spark, d):
-    """Links of a page to its own host, made whole, without fragments and files, each once, the first 80 in their order."""
+    """Links of a page to its own host, made whole from the page's folder, without fragments and files, each once."""
     host = F.lower(F.regexp_extract("url", "^https?://([^/?#:]*)", 1))
     base = F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit("://"), host)
+    folder = F.coalesce(F.nullif(F.regexp_extract("url", _PAGE, 2), F.lit("")), F.lit("/"))
     refs = F.regexp_extract_all("html", F.lit("""href=["']([^"']+)"""), F.lit(1))
-    whole = lambda x: F.when(x.rlike("^[a-z]+:"), x).when(x.startswith("//"), F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit(":"), x)).when(x.startswith("/"), F.concat(base, x)).otherwise(F.concat(base, F.lit("/"), x))
+    whole = lambda x: F.when(x.rlike("^[a-z]+:"), x).when(x.startswith("//"), F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit(":"), x)).when(x.startswith("/"), F.concat(base, x)).otherwise(F.concat(base, folder, x))
     links = F.transform(refs, lambda x: F.regexp_replace(whole(x), "#.*$", ""))
     kept = F.filter(links, lambda x: (F.lower(F.regexp_extract(x, "^https?://([^/?#:]*)", 1)) == host) & (host != "") & ~F.regexp_replace(x, "[?].*$", "").rlike(_ENDING))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.slice(F.array_distinct(kept), 1, MOST_LINKS)), " ").alias("links"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(kept)), " ").alias("links"))
 
 
 _ASKED = ["and", "reier", "thing", "der", "les", "html", "example"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import conversation, grounding
+from tallyspark.operators.discovery import exactly_one
 
 NONE = grounding.FALLBACK
 
@@ -119,3 +120,32 @@ def test_carried_values_do_not_depend_on_the_blocks(spark):
         got = conversation.carried(df, "k", ["i"], "fresh", ["a", "b"], block).select("k", "i", "a", "b").collect()
         assert sorted(map(tuple, got)) == want
     assert conversation.carried(df.limit(0), "k", ["i"], "fresh", ["a", "b"]).collect() == []
+
+
+def test_exactly_one_document_or_none(spark):
+    docs = [
+        (1, "Credit Policy", "cp.pdf", True),
+        (2, "Loan Manual", "lm.pdf", True),
+        (3, "Loan Manual", "lm2.pdf", False),
+        (4, "Card Guide", "a.pdf", False),
+        (5, "Card Guide", "b.pdf", False),
+        (6, "Deposit Handbook of Branches", None, None),
+        (7, None, "Credit Policy", True),
+        (8, "Same", "same", False),
+    ]
+    queries = [(1, " loan manual"), (2, "CARD GUIDE"), (3, "cp.pdf"), (4, "handbook deposit"), (5, "pdf"), (6, "credit policy"), (7, "nothing of it"), (8, ""), (9, None), (10, "same"), (11, "deposit x")]
+    out = exactly_one(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, title string, filename string, ready boolean"))
+    got = {r["query_id"]: (r["status"], r["doc_id"], r["candidates"]) for r in out.collect()}
+    assert got == {
+        1: ("resolved", 2, 2),
+        2: ("ambiguous", None, 2),
+        3: ("resolved", 1, 1),
+        4: ("resolved", 6, 1),
+        5: ("ambiguous", None, 5),
+        6: ("ambiguous", None, 2),
+        7: ("not_found", None, 0),
+        8: ("not_found", None, 0),
+        9: ("not_found", None, 0),
+        10: ("resolved", 8, 1),
+        11: ("not_found", None, 0),
+    }
