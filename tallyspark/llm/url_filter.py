@@ -17,9 +17,11 @@ change nothing:
 * the labelled branches of a node are pooled, the most alike first, while two
   of them don't differ significantly (two-proportion z test). Where all are
   alike they keep their parent's purity; else a pool's purity is its own
-  blocked share, smoothed by a fixed prior. A branch without labelled urls of
-  its own has that prior, whatever its siblings are, so without labelled urls
-  nothing is rejected;
+  blocked share, smoothed by a fixed prior;
+* a template without labelled urls on its own host is judged by the labelled
+  urls that the same template has on other hosts, smoothed by the same prior,
+  never by its siblings; without any it has the prior, so without labelled
+  urls nothing is rejected;
 * a template is rejected when its purity reaches a threshold.
 
 Urls that are null or lack ``://`` have an empty host and path, fit no rule
@@ -162,6 +164,27 @@ def templates(paths: DataFrame) -> DataFrame:
         open_ = split.filter("child IS NOT NULL").select("host", "shape", "n", "l", "b", F.concat_ws("/", "node", "name").alias("node"), "rest", "purity")
 
 
+def _with(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """rows left joined with facts, one row for each of the keys: by broadcast up to BROADCAST_ROWS, else with a salt
+    from the columns spread, so rows of one key are dealt over SALTS tasks."""
+    facts = saved(facts, "url-facts")
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), keys, "left")
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+def across_hosts(tree: DataFrame, paths: DataFrame) -> DataFrame:
+    """The tree (host, shape, template, purity) where templates without labels on their host have the purity that
+    the template's labelled urls on other hosts give it."""
+    rows = saved(_with(tree, paths.select("host", "shape", "l", "b"), ["host", "shape"], ["template"]), "url-tree")
+    own = rows.groupBy("host", "template").agg(F.sum("l").alias("_own"))
+    all_ = rows.groupBy("template").agg(F.sum("l").alias("_l"), F.sum("b").alias("_b")).filter("_l > 0")
+    rows = _with(_with(rows.drop("l", "b"), own, ["host", "template"], ["shape"]), all_, ["template"], ["host", "shape"])
+    elsewhere = F.when(F.col("_l").isNotNull(), _purity(F.col("_b"), F.col("_l"))).otherwise(PRIOR)
+    return rows.select("host", "shape", "template", F.when(F.col("_own") > 0, F.col("purity")).otherwise(elsewhere).alias("purity"))
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page."""
     host, path = host_and_path(F.col("url"))
@@ -170,7 +193,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), _shape(F.col("path")).alias("shape"))
     paths = rows.select("host", "path", "verdict", "shape").dropDuplicates(["host", "path"])
     paths = paths.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("verdict").alias("l"), F.count_if(F.col("verdict") == "block").alias("b"))
-    tree = templates(saved(paths, "url-paths"))
+    paths = saved(paths, "url-paths")
+    tree = across_hosts(templates(paths), paths)
     tree = tree.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "purity")
 
     same = [F.col("host") == F.col("_h"), F.col("shape") == F.col("_s")]

@@ -90,3 +90,18 @@ def test_segments_beyond_the_third_count(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r for r in url_filter.judged(pages, rules).collect()}
     assert {got[i].verdict for i in range(15)} == {"block"} and {got[i].verdict for i in range(15, 30)} == {"allow"}
+
+
+def test_templates_without_labels_are_judged_by_other_hosts(spark):
+    urls = [f"http://a{h}.example.com/en/{i}" for h in range(4) for i in range(10)]  # blocked by a rule
+    urls += [f"http://b{h}.com/de/{i}" for h in range(4) for i in range(10)]  # allowed by a rule
+    urls += [f"http://c.net/{x}/{i}" for x in ("en", "de", "xx", "es") for i in range(5)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["path"]: (r["verdict"], round(r["purity"], 3)) for r in url_filter.judged(pages, RULES).filter("host = 'c.net'").collect()}
+    # distinct paths of each host: digits are one template, paths are counted
+    blocked = (40 + 8 * 0.25) / 48
+    allowed = (0 + 8 * 0.25) / 48
+    assert {got[f"/en/{i}"] for i in range(5)} == {("block", round(blocked, 3))}
+    assert {got[f"/de/{i}"] for i in range(5)} == {("allow", round(allowed, 3))}
+    assert {got[f"/xx/{i}"] for i in range(5)} == {("allow", 0.25)}
+    assert {got[f"/es/{i}"][0] for i in range(5)} == {"block"}
