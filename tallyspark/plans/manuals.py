@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.catalogue import query
 from tallyspark.operators import documents as M
+from tallyspark.operators import sections as P
 from tallyspark.sources import table
 
 #: What a manual makes of each six lines of a document: a heading, two steps, a heading below it, and two lines as they are.
@@ -308,3 +309,60 @@ def d_document_type(spark, d):
     best = F.array_min(F.filter(F.array(*hits), lambda h: h["hits"] < 0))
     out = table(spark, d, "documents").select("doc_id", best.alias("best")).filter("best is not null")
     return out.select("doc_id", "best.kind", F.round(F.least(F.lit(0.95), 0.6 - 0.08 * F.col("best.hits")), 6).alias("confidence"))
+
+
+def paged(spark, d):
+    """(doc_id, page, text): each eight lines of a document as a page, with chapters, headings, clauses and footers put in."""
+
+    def line(x, i):
+        n = (i / 6).cast("int") + 1
+        part = lambda *words: F.concat(*[w if not isinstance(w, str) else F.lit(w) for w in words])
+        no, at = n.cast("string"), i.cast("string")
+        return (
+            F.when(i % 6 == 0, part("CHAPTER ", no, "\n", no, ". ", _first(x, 5), "\n", x))
+            .when(i % 6 == 1, part(no, ".1 ", _first(x, 4), "\n", x))
+            .when(i % 6 == 2, part(no, "1.", at, " ", _first(x, 3), "\n", x))
+            .when(i % 6 == 3, part("7. ", _first(x, 3), "\nPage | ", at, "\n", x))
+            .when(i % 6 == 4, part(no, ".2 The ", _first(x, 2), " Department shall\n", no, ".2.1 ", x))
+            .otherwise(x)
+        )
+
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"))
+    count = F.ceil(F.size("lines") / 8).cast("int")
+    pages = F.transform(F.sequence(F.lit(0), count - 1), lambda p: F.array_join(F.slice("lines", p * 8 + 1, F.lit(8)), "\n"))
+    # every third document begins with a page of contents, a copy of its first page
+    pages = F.when(F.col("doc_id") % 3 == 0, F.concat(F.transform(F.slice(pages, 1, 1), lambda x: F.concat(F.lit("Table of Contents\n"), x)), pages)).otherwise(pages)
+    return docs.select("doc_id", F.posexplode(pages).alias("page", "text"))
+
+
+_NO = "((i - 1) // 6 + 1)"
+_PAGED = f"""a AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 6
+        WHEN 0 THEN concat('CHAPTER ', {_NO}, chr(10), {_NO}, '. ', {_sql_first(5)}, chr(10), x) WHEN 1 THEN concat({_NO}, '.1 ', {_sql_first(4)}, chr(10), x)
+        WHEN 2 THEN concat({_NO}, '1.', i - 1, ' ', {_sql_first(3)}, chr(10), x) WHEN 3 THEN concat('7. ', {_sql_first(3)}, chr(10), 'Page | ', i - 1, chr(10), x)
+        WHEN 4 THEN concat({_NO}, '.2 The ', {_sql_first(2)}, ' Department shall', chr(10), {_NO}, '.2.1 ', x) ELSE x END) AS ls FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, p + CAST(doc_id % 3 = 0 AS INTEGER) AS page, array_to_string(ls[p * 8 + 1:p * 8 + 8], chr(10)) AS text FROM (SELECT doc_id, ls, unnest(range((len(ls) + 7) // 8)) AS p FROM a))"""
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+_CONTENTS = r"""contains(lower(text), 'table of contents') OR regexp_matches(lower(text), '(?m)^\s*contents\s*$') OR (len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '...'))) >= 3
+    AND len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '...') AND regexp_matches(x, '^\s*\d+(?:\.\d+){0,4}\.?\s+'))) >= 2)"""
+
+
+@query(rf"""WITH {_PAGED}, c AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM b WHERE NOT ({_CONTENTS})),
+    d AS (SELECT doc_id, page, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM c),
+    e AS (SELECT *, regexp_matches(line, '{P.CHAPTER}') AS chapter, regexp_replace(line, '^[|,;:\- ]+', '') AS raw FROM d
+        WHERE line <> '' AND NOT regexp_matches(line, '{P.FOOTER}') AND NOT (contains(lower(line), 'approved by') AND len(line) < 80) AND NOT (len(line) <= 12 AND len(regexp_replace(line, '[^a-zA-Z0-9]', '', 'g')) <= 2)),
+    f AS (SELECT *, CASE WHEN NOT chapter THEN nullif(regexp_extract(raw, '{P.NUMBERED}', 1), '') END AS number, trim(regexp_extract(raw, '{P.NUMBERED}', 2)) AS title, regexp_extract_all(regexp_extract(raw, '{P.NUMBERED}', 2), '[A-Za-z0-9/&''-]+') AS w FROM e),
+    g AS (SELECT *, number IS NOT NULL AND len(title) <= 160 AND len(w) BETWEEN 1 AND 18 AND lower(w[1]) NOT IN ({_QUOTED(P.CLAUSE_WORDS)}) AND NOT list_bool_or([contains(concat(' ', lower(title), ' '), x) FOR x IN [{_QUOTED(P.REQUIRES)}]])
+        AND NOT (len(w) > 8 AND regexp_matches(title, '[.;,]$')) AS is_title, count(*) FILTER (WHERE chapter) OVER (PARTITION BY doc_id ORDER BY page, i) AS chapters FROM f),
+    h AS (SELECT *, is_title AND NOT contains(number, '.') AND TRY_CAST(number AS INTEGER) <= {P.MOST_CHAPTERS} AS may FROM g),
+    m AS (SELECT *, coalesce(may, false) AND row_number() OVER (PARTITION BY doc_id, chapters, coalesce(may, false) ORDER BY page, i) = 1 AS major FROM h),
+    n AS (SELECT *, last_value(CASE WHEN major THEN {{'number': number, 'title': title}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, i ROWS UNBOUNDED PRECEDING) AS above FROM m),
+    o AS (SELECT *, coalesce(NOT major AND regexp_matches(number, '^\d+\.\d+$') AND (above IS NULL OR above.number = string_split(number, '.')[1])
+        AND (is_title OR list_bool_or([contains(lower(title), x) FOR x IN [{_QUOTED(P.OFFICES)}, ' shall']])), false) AS minor FROM n),
+    r AS (SELECT *, count(*) FILTER (WHERE major OR minor) OVER (PARTITION BY doc_id ORDER BY page, i) AS k FROM o WHERE NOT chapter),
+    s AS (SELECT *, max(CASE WHEN minor THEN number END) OVER (PARTITION BY doc_id, k) AS role FROM r),
+    t AS (SELECT *, CASE WHEN starts_with(number, concat(role, '.')) THEN number WHEN regexp_matches(number, concat('^', replace(role, '.', ''), '\.\d+$')) THEN concat(role, '.', string_split(number, '.')[2]) END AS clause FROM s)
+    SELECT doc_id, CAST(k AS INTEGER) AS k, max(CASE WHEN major OR minor THEN number END) AS number, coalesce(max(CASE WHEN major OR minor THEN title END), '{M.INTRODUCTION}') AS title, max(CASE WHEN minor THEN above.number END) AS parent_number, max(CASE WHEN minor THEN above.title END) AS parent_title,
+        CAST(min(page) AS INTEGER) AS start_page, CAST(max(page) AS INTEGER) AS end_page, md5(string_agg(CASE WHEN major THEN concat(number, '. ', title) WHEN minor THEN raw WHEN clause IS NOT NULL THEN concat(clause, '. ', title) ELSE line END, chr(10) ORDER BY page, i)) AS content FROM t GROUP BY 1, 2""")
+def d_paged_sections(spark, d):
+    """The sections of every document as pages with contents, chapters, footers and misread clause numbers."""
+    return P.paged_sections(paged(spark, d)).withColumn("content", F.md5(F.col("content").cast("binary")))
