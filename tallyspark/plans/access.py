@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.catalogue import query
 from tallyspark.operators import governance as G
+from tallyspark.operators import permissions as P
+from tallyspark.plans.stores import _new_path
+from tallyspark.sources import store as S
 from tallyspark.sources import table
 
 #: Classification of each table, and the columns that are sensitive.
@@ -102,3 +105,44 @@ def g_permission_audit(spark, d):
     granted = spark.createDataFrame([(t, c) for t in ("purchase", "view") for c in ("account.balance.view", "account.transactions.view", "deposit.forecast.view")], "event_type string, code string").withColumn("granted", F.lit(True))
     asked = table(spark, d, "events").select("event_type", G.permission(text).alias("code")).groupBy("event_type", "code").agg(F.count(F.lit(1)).alias("requests"))
     return asked.join(F.broadcast(granted), ["event_type", "code"], "left").select("event_type", "code", (F.coalesce("granted", F.lit(False)) | (F.col("code") == "report.view")).alias("allowed"), "requests")
+
+
+def _held(spark, d):
+    """What customers hold: two roles each, of five; roles hold the codes of event types, one role and one code are inactive."""
+    customers, kinds = table(spark, d, "customer"), table(spark, d, "events").select("event_type").filter("event_type is not null").distinct()
+    user_roles = customers.select(F.col("c_custkey").alias("user_id"), F.explode(F.array(F.length("c_mktsegment") % 5, F.col("c_nationkey") % 5)).alias("role_id"))
+    roles = customers.select((F.col("c_nationkey") % 5).alias("role_id")).distinct().withColumn("is_active", F.col("role_id") != 3)
+    permissions = kinds.select(F.col("event_type").alias("permission_id"), F.concat(F.lit("event."), "event_type").alias("code"), (F.col("event_type") != "error").alias("is_active"))
+    role_permissions = kinds.select(F.explode(F.sequence(F.length("event_type") % 3, F.length("event_type") % 3 + 2)).alias("role_id"), F.col("event_type").alias("permission_id"))
+    return P.held(user_roles, roles, role_permissions, permissions)
+
+
+_HELD = """(WITH ur AS (SELECT c_custkey AS user_id, len(c_mktsegment) % 5 AS role_id FROM customer UNION ALL SELECT c_custkey, c_nationkey % 5 FROM customer),
+    r AS (SELECT DISTINCT c_nationkey % 5 AS role_id, c_nationkey % 5 <> 3 AS is_active FROM customer), p AS (SELECT DISTINCT event_type, concat('event.', event_type) AS code, event_type <> 'error' AS is_active FROM events WHERE event_type IS NOT NULL),
+    rp AS (SELECT event_type, unnest(range(len(event_type) % 3, len(event_type) % 3 + 3)) AS role_id FROM p)
+    SELECT DISTINCT user_id, code AS permission_code FROM ur JOIN r ON ur.role_id = r.role_id AND r.is_active JOIN rp ON rp.role_id = r.role_id JOIN p ON p.event_type = rp.event_type AND p.is_active)"""
+
+
+@query(f"SELECT user_id, permission_code FROM {_HELD}")
+def g_permissions_held(spark, d):
+    """Users to roles to permissions, what is active of them, each pair once."""
+    return _held(spark, d)
+
+
+@query(f"""SELECT event_id AS request_id, e.user_id, 'event_access' AS action, event_type AS resource, concat('event.', event_type) AS permission_code, h.user_id IS NOT NULL AS access_granted,
+    CASE WHEN h.user_id IS NOT NULL THEN '{P.GRANTED}' ELSE '{P.MISSING}' END AS reason, props AS request_text, strftime(ts, '%Y-%m-%d') AS day
+    FROM events e LEFT JOIN {_HELD} h ON h.user_id = e.user_id AND h.permission_code = concat('event.', e.event_type)""")
+def g_request_audit(spark, d):
+    """Every event as a request, decided and logged; the first half is logged twice and is there once."""
+    asked = table(spark, d, "events").select(
+        F.col("event_id").alias("request_id"),
+        "user_id",
+        F.concat(F.lit("event."), "event_type").alias("permission_code"),
+        F.col("event_type").alias("resource"),
+        F.col("props").alias("request_text"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    )
+    decided, log = P.authorized(asked, _held(spark, d)), P.audit_log(_new_path(spark, "audit"))
+    P.record(spark, log, decided.filter("day < '2024-01-16'"), "event_access")
+    P.record(spark, log, decided, "event_access")
+    return S.read(spark, log)

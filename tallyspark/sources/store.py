@@ -98,6 +98,22 @@ def merge(spark: SparkSession, store: Store, new: DataFrame, order: str | None =
     return _swapped(spark, store, touched, old.join(new.select(*store.keys), list(store.keys), "left_anti"), new)
 
 
+def append_once(spark: SparkSession, store: Store, new: DataFrame) -> None:
+    """Add the new rows whose key the table lacks; stored rows never change. Of new rows with the same key the least
+    counts, those with a null in their key are left out. Called again with the same rows it adds what is missing.
+    Only the partitions of new rows are looked at, and only their keys are read."""
+    for k in store.keys:
+        new = new.filter(F.col(k).isNotNull())
+    empty = spark.createDataFrame([], store.schema)
+    rest = [c for c in empty.columns if c not in store.keys]
+    new = new.groupBy(*store.keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*store.keys, "_r.*")
+    new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema])
+    stored = read(spark, store).join(new.select(*store.parts).distinct(), list(store.parts), "left_semi").select(*store.keys)
+    # few files a partition, and a hot one split by size
+    fresh = new.join(stored, list(store.keys), "left_anti").hint("rebalance", *store.parts)
+    fresh.write.mode("append").partitionBy(*store.parts).parquet(store.path)
+
+
 def replace(spark: SparkSession, store: Store, groups: DataFrame, new: DataFrame, replaceable: Column, log: str) -> int:
     """What is replaceable of the groups (the columns of groups, partitions included) goes, and new takes its place.
 
