@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tallyspark.plans import access, answers, catalogs, documents, governance, manuals, reports, series, statements, stores, text, web  # noqa: F401
+    from tallyspark.plans import access, answers, catalogs, documents, governance, manuals, people, reports, series, statements, stores, text, web  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
