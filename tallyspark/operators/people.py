@@ -67,16 +67,20 @@ def board(text: Column) -> Column:
                 F.coalesce(begins(i + 1, QUALIFICATION) & begins(i + 2, EXPERIENCE) & F.lower(F.get(all_lines, i + 3)).isin(BOARD_ROLES), F.lit(False)).alias("member"),
             ),
         )
-        begin = F.array_min(F.transform(F.filter(at, lambda r: r["first"]), lambda r: r["i"]))
-        events = F.filter(at, lambda r: (r["i"] >= begin) & (r["last"] | r["member"]))
-        start = F.struct(F.lit(0).alias("free"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("taken"))
+        start = F.struct(F.lit(0).alias("free"), F.lit(False).alias("begun"), F.lit(False).alias("ended"), F.array().cast("array<int>").alias("taken"))
 
         def step(s, r):
-            ended = F.struct(s["free"].alias("free"), F.lit(False).alias("open"), s["taken"].alias("taken"))
-            member = F.struct((r["i"] + 4).alias("free"), s["open"].alias("open"), F.concat(s["taken"], F.array(r["i"])).alias("taken"))
-            return F.when(~s["open"] | (r["i"] < s["free"]), s).when(r["last"], ended).otherwise(member)
-
-        taken = F.aggregate(events, start, step)["taken"]
+            begun = s["begun"] | r["first"]
+            looked = begun & ~s["ended"] & (r["i"] >= s["free"])
+            member = looked & r["member"] & ~r["last"]
+            return F.struct(
+                F.when(member, r["i"] + 4).otherwise(s["free"]).alias("free"),
+                begun.alias("begun"),
+                (s["ended"] | (looked & r["last"])).alias("ended"),
+                F.when(member, F.concat(s["taken"], F.array(r["i"]))).otherwise(s["taken"]).alias("taken"),
+            )
+
+        taken = F.aggregate(F.filter(at, lambda r: r["first"] | r["last"]), start, step)["taken"]
         line = lambda i, k: F.get(all_lines, i + k)
         return F.transform(taken, lambda i: F.struct(line(i, 0).alias("name"), line(i, 3).alias("role"), line(i, 1).alias("qualification"), line(i, 2).alias("experience")))
 

@@ -19,15 +19,12 @@ LEAST_CHARS, OPENING = 4, 1200
 ENDS = ".,:;!?()[]{}'\"/"
 
 
-def word(c: Column) -> Column:
-    """Lower case, without punctuation at its ends and without a plural s."""
-    c = F.btrim(F.lower(c), F.lit(ENDS))
-    return F.when((F.length(c) > 5) & c.endswith("s") & ~c.endswith("ss"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
-
-
 def words(text: Column) -> Column:
-    """The different words of a text."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), word), lambda w: w != ""))
+    """The different words of a text: lower case, without punctuation at their ends and without a plural s."""
+    bare = F.transform(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", -1)), lambda w: F.btrim(w, F.lit(ENDS)))
+    plural = lambda w: (F.length(w) > 5) & w.endswith("s") & ~w.endswith("ss")
+    single = F.transform(bare, lambda w: F.when(plural(w), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return F.array_distinct(F.filter(single, lambda w: w != ""))
 
 
 def _plain(question: str) -> list[str]:
@@ -51,11 +48,15 @@ def validated(found: DataFrame, question: str) -> DataFrame:
     if not asked:
         return found.limit(0).select("*", F.lit(0).alias("title_hits"), F.lit(0).alias("opening_hits"))
     wanted = F.array(*[F.lit(w) for w in asked])
-    rows = found.withColumn("_title", words(F.col("title"))).withColumn("_opening", words(F.substring("content", 1, OPENING)))
+    collective, modifiers = (F.array(*[F.lit(w) for w in some] or [F.lit("")]) for some in (COLLECTIVE, [m for m in MODIFIERS if m not in asked]))
     hits = lambda c: F.size(F.array_intersect(wanted, c))
-    rows = rows.withColumn("title_hits", hits(F.col("_title"))).withColumn("opening_hits", hits(F.col("_opening")))
-    named = F.filter("_title", lambda w: (F.length(w) >= LEAST_CHARS) & ~w.rlike("^[0-9]+$"))
-    enough = hits(F.array_union("_title", "_opening")) >= min(2, len(asked))
-    other = (F.col("title_hits") > 0) & (F.size(F.array_except(named, wanted)) > 0) & (F.col("title_hits") < len(asked)) & ~F.arrays_overlap(named, F.array(*[F.lit(w) for w in COLLECTIVE]))
-    modified = F.arrays_overlap("_title", F.array(*[F.lit(m) for m in MODIFIERS if m not in asked] or [F.lit("")]))
-    return rows.filter(enough & ~other & ~modified).drop("_title", "_opening")
+
+    def judged(p):
+        named = F.filter(p["title"], lambda w: (F.length(w) >= LEAST_CHARS) & ~w.rlike("^[0-9]+$"))
+        enough = hits(F.array_union(p["title"], p["opening"])) >= min(2, len(asked))
+        other = (hits(p["title"]) > 0) & (hits(p["title"]) < len(asked)) & (F.size(F.array_except(named, wanted)) > 0) & ~F.arrays_overlap(named, collective)
+        return F.struct(hits(p["title"]).alias("title_hits"), hits(p["opening"]).alias("opening_hits"), (enough & ~other & ~F.arrays_overlap(p["title"], modifiers)).alias("_kept"))
+
+    # one value a row, so that its words are found once and not again in a filter pushed below
+    both = F.struct(words(F.col("title")).alias("title"), words(F.substring("content", 1, OPENING)).alias("opening"))
+    return found.select("*", F.inline(F.filter(F.transform(F.array(both), judged), lambda j: j["_kept"]))).drop("_kept")
