@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import conversation, grounding
-from tallyspark.operators.discovery import exactly_one
+from tallyspark.operators.discovery import exactly_one, met
 
 NONE = grounding.FALLBACK
 
@@ -149,3 +149,28 @@ def test_exactly_one_document_or_none(spark):
         10: ("resolved", 8, 1),
         11: ("not_found", None, 0),
     }
+
+
+def test_copies_of_queries_and_documents_meet_once(spark):
+    docs = [(i, "Loan Manual of Branches" if i % 2 else "manual loan branches OF", "x.pdf", False) for i in range(300)] + [(500, "Card manual", "y.pdf", True)]
+    queries = [(i, "branches manual") for i in range(200)] + [(1000, "manual card"), (1001, "manual of nothing"), (1002, "manual")]
+    queries, docs = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, title string, filename string, ready boolean")
+    got = {r["query_id"]: (r["status"], r["doc_id"], r["candidates"]) for r in exactly_one(queries, docs).collect()}
+    assert got == {**{i: ("ambiguous", None, 300) for i in range(200)}, 1000: ("resolved", 500, 1), 1001: ("not_found", None, 0), 1002: ("ambiguous", None, 301)}
+    wanted = spark.createDataFrame([(["branches", "manual"],), (["card", "manual"],), (["manual"],)], "_words array<string>")
+    held = spark.createDataFrame([(["branches", "loan", "manual"], 300, 0), (["card", "manual"], 1, 500)], "_held array<string>, _docs long, _least long")
+    assert met(wanted, held).count() == 4
+
+
+def test_queries_by_words_as_by_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{int(rng.random() ** 2 * 25)}" for _ in range(4000)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, pick(rng.randrange(1, 6)), pick(1) + ".pdf") for i in range(120)]
+    queries = [(i, "? " + pick(rng.randrange(1, 6))) for i in range(150)]
+    out = exactly_one(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame([(*x, False) for x in docs], "doc_id long, title string, filename string, ready boolean"))
+    got = {r["query_id"]: (r["doc_id"], r["candidates"]) for r in out.collect()}
+    held = {i: {*t.split(), *f.split(".")} for i, t, f in docs}
+    for i, q in queries:
+        own = [d for d, h in held.items() if set(q.split()[1:]) <= h]
+        assert got[i] == (own[0] if len(own) == 1 else None, len(own))
