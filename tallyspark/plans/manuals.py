@@ -96,9 +96,7 @@ def d_section_scores(spark, d):
     SELECT DISTINCT doc_id, k, title, score FROM (SELECT * FROM b UNION ALL SELECT s.* FROM s SEMI JOIN (SELECT doc_id, parent_title FROM b WHERE regexp_matches(lower(parent_title), 'responsib|authorit')) p USING (doc_id, parent_title))""")
 def d_top_sections(spark, d):
     """The six best sections, with all sections beside them under a parent about responsibility."""
-    every = M.scored(_sections(spark, d), QUESTION).select("doc_id", "k", "title", "parent_title", "score")
-    best = every.filter("score > 0").orderBy(F.desc("score"), "doc_id", "k").limit(6)
-    return M.with_siblings(best, every).select("doc_id", "k", "title", "score")
+    return M.top_sections(manuals(spark, d), QUESTION, 6).select("doc_id", "k", "title", "score")
 
 
 _WANTED = "approval process"

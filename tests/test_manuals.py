@@ -139,3 +139,17 @@ def test_the_stream_gives_the_windows_of_the_batch(spark, tmp_path):
     series.run(source, write, str(tmp_path / "checkpoint")).awaitTermination()
     want = {(r.event_type, r.period): (r.n, r.total) for r in series.windowed(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert points == want and len(want) > 10
+
+
+def test_top_sections_cut_other_manuals_once(spark, capsys):
+    texts = [(i, f"{i + 1}. Authority and responsibilities of branch\n{i + 1}.1 Duties\nThe {'branch ' * (i % 7)}files.\n{i + 1}.2 Other\nx") for i in range(30)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    every = documents.scored(documents.sections(plain), "branch responsibilities").select("doc_id", "k", "title", "parent_title", "score")
+    want = documents.with_siblings(every.filter("score > 0").orderBy(F.desc("score"), "doc_id", "k").limit(3), every).collect()
+    top = documents.top_sections(plain, "branch responsibilities", 3)
+    got = top.collect()
+    assert sorted(got) == sorted(want) and len({r.doc_id for r in got}) == 3 and len(got) == 6
+    capsys.readouterr()
+    top.explain()
+    assert capsys.readouterr().out.split("== Initial Plan ==")[-1].count("Generate") == 1  # the siblings', of the best sections' manuals only
+    assert documents.top_sections(plain, "nothing asked", 3).collect() == []
