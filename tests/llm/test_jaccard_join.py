@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyspark.llm import jaccard_join
@@ -121,3 +122,27 @@ def test_labels_beyond_two_kinds_are_left_out(spark):
     docs = spark.createDataFrame([(i, "some text") for i in range(6)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, None)], "doc_id long, label int")
     assert sorted(r.label for r in toxicity.sampled(docs, labels).collect()) == [0, 1]
+
+
+def test_pairs_that_cannot_link_by_size_are_not_made(spark):
+    """Texts that share rare shingles, but whose sizes exclude a link, give no candidate pair; the others are made once."""
+    rng = random.Random(11)
+    texts = [" ".join(["a b c d e"] + [f"x{rng.randrange(10**9)}" for _ in range(4 * 2**k)]) for k in range(6)]
+    docs = frame(spark, list(enumerate(texts + texts[:1])))
+    found = jaccard_join.cells(docs, np.zeros(0, np.uint64), 4, True)
+    assert set(found.columns) == {"a", "b", "cells", "n_a", "n_b"}
+    assert all(75 * max(r.n_a, r.n_b) <= 100 * min(r.n_a, r.n_b) for r in found.collect())
+    one = frame(spark, [(i, f"p q r s t {i} u") for i in range(jaccard_join.FULL)])
+    assert jaccard_join.cells(one, np.zeros(0, np.uint64), 4, False).count() == 0
+
+
+def test_cells_a_little_full_come_later_in_the_order(spark, monkeypatch):
+    """Shingles in more than FULL sets leave the first ones, so sets of other rare shingles give no pairs; the result is the same."""
+    rng = random.Random(12)
+    docs = list(enumerate([" ".join([f"s{k}" for k in range(5)] + [f"x{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(jaccard_join.CELL - 2)] + ["s0 s1 s2 s3 s4 y"] * 2))
+    assert found(spark, docs) == brute.clusters(docs)
+    seen = []
+    plain = jaccard_join.candidate_edges
+    monkeypatch.setattr(jaccard_join, "candidate_edges", lambda rows: seen.append(rows.count()) or plain(rows))
+    found(spark, docs)
+    assert seen[0] <= jaccard_join.CELL
