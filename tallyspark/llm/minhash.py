@@ -165,9 +165,13 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
     return saved(source.mapInArrow(freed(scan), "key binary, n_shingles long, doc_ids array<long>, bands array<long>, signature binary"), "minhash-classes")
 
 
-def _hubs(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, _copies): the nodes on more than a thousandth of the pairs, and how many thousandths."""
-    total = max(pairs.count(), 1)
+def _small(rows: DataFrame) -> DataFrame:
+    """The saved rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _hubs(pairs: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, _copies): the nodes on more than a thousandth of the `total` pairs, and how many thousandths."""
     many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HUBS > total)
     return many.select(key, F.ceil(F.col("_n") * HUBS / total).alias("_copies"))
 
@@ -196,9 +200,9 @@ def sifted(pairs: DataFrame, known: DataFrame, miss: float = MISS) -> DataFrame:
             alive, equal = surviving(_matrix(batch.column("s_a")), _matrix(batch.column("s_b")), plan)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive)), pa.array(equal)], ["a", "b", "equal"])
 
-    rows = pairs
+    rows, total = pairs, max(pairs.count(), 1)
     for x, other in (("a", "b"), ("b", "a")):
-        rows = _beside(rows, known.select(F.col("node").alias(x), F.col("signature").alias(f"s_{x}")), _hubs(pairs, x), x, other)
+        rows = _beside(rows, known.select(F.col("node").alias(x), F.col("signature").alias(f"s_{x}")), _hubs(pairs, x, total), x, other)
     return rows.select("a", "b", "s_a", "s_b").mapInArrow(freed(verify), "a long, b long, equal long")
 
 
@@ -244,14 +248,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
                 keep.append(HUNDRED * common >= PERCENT * (len(of[a]) + len(of[b]) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs
+    rows, total = pairs, max(pairs.count(), 1)
     for x, other in (("a", "b"), ("b", "a")):
-        rows = _beside(rows, texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")), _hubs(pairs, x), x, other)
+        rows = _beside(rows, texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")), _hubs(pairs, x, total), x, other)
     return rows.select("a", "b", "t_a", "t_b").mapInArrow(freed(compare), "a long, b long")
 
 
 def _labelled(rows: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
     """rows with l_<column>: the component of the node in each column, itself where it has no links."""
+    label = _small(label)
     for c in columns:
         rows = rows.join(label.select(F.col("node").alias(c), F.col("component").alias("_l")), c, "left")
         rows = rows.withColumn(f"l_{c}", F.coalesce("_l", c)).drop("_l")
@@ -261,8 +266,9 @@ def _labelled(rows: DataFrame, label: DataFrame, *columns: str) -> DataFrame:
 def settled(near: DataFrame, known: DataFrame, docs: DataFrame, links: DataFrame | None, n: int = N) -> DataFrame:
     """Saved links (a, b) after exact verification of the saved pairs near (a, b, equal): links and a set of
     new ones that connects what near connects."""
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = saved(known.select("key", "node", "rep").join(nodes, "node"), "minhash-wanted")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node"))
+    nodes = F.broadcast(nodes) if 2 * near.count() <= BROADCAST_IDS else nodes
+    wanted = saved(known.select("key", "node", "rep").join(nodes, "node", "left_semi"), "minhash-wanted")
     texts = saved(_texts(docs, wanted, n), "minhash-texts")
     ends = near.select(F.col("a").alias("node"), "a", "b", "equal").unionByName(near.select(F.col("b").alias("node"), "a", "b", "equal"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("p"))
@@ -271,6 +277,8 @@ def settled(near: DataFrame, known: DataFrame, docs: DataFrame, links: DataFrame
     sure = saved(sure if links is None else sure.unionByName(links), "minhash-links")
     rest = _labelled(near.select("a", "b").join(best, ["a", "b"], "left_anti"), components(sure), "a", "b").filter("l_a <> l_b").select("a", "b")
     rest = saved(rest, "minhash-rest")
+    if not rest.limit(1).count():
+        return sure
     return saved(sure.unionByName(confirmed(rest, texts, n)), "minhash-links")
 
 
@@ -395,14 +403,18 @@ def clustered(docs: DataFrame, n: int = N, miss: float = MISS) -> DataFrame:
         label = components(links)
         crowd = with_hubs(members.select("bucket", "node"), hot.select("bucket", "n"), "bucket", known.count() * BANDS / HUBS)
         crowd = saved(_labelled(crowd, label, "node").withColumnRenamed("l_node", "label"), "minhash-crowd")
-        of = saved(known.select("key", "node", "rep", "n_shingles").join(crowds(crowd, known, miss).withColumnRenamed("component", "crowd"), "node"), "minhash-wanted")
+        of = saved(known.select("key", "node", "rep", "n_shingles").join(_small(crowds(crowd, known, miss)).withColumnRenamed("component", "crowd"), "node"), "minhash-wanted")
         whole = _labelled(of.drop("key", "rep").join(_texts(docs, of.select("key", "node", "rep"), n), "node"), label, "node").withColumnRenamed("l_node", "label")
         links = saved(links.unionByName(crowd_links(saved(whole, "minhash-texts"), n)), "minhash-links")
 
     label = saved(components(links), "minhash-label")
-    named = saved(known.select("node", "rep").join(label, "node"), "minhash-named")
+    named = saved(known.select("node", "rep").join(_small(label), "node"), "minhash-named")
     smallest = saved(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "minhash-smallest")
-    found = with_hubs(named, smallest, "component", named.count() / HUBS).select("node", "component_id")
+    count = named.count()
+    if count <= BROADCAST_IDS:
+        found = F.broadcast(named.join(F.broadcast(smallest), "component").select("node", "component_id"))
+    else:
+        found = with_hubs(named, smallest, "component", count / HUBS).select("node", "component_id")
     ids = known.select("key", "node", "rep").join(found, "node", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     rows = local.select("key", "n_shingles", "doc_ids").join(ids, "key", "left").select("n_shingles", "component_id", F.explode("doc_ids").alias("doc_id"))
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -48,3 +48,12 @@ def test_stars_connect_what_the_edges_connect():
         node, root = stars(u, v)
         want = brute(edges)
         assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {k: c for k, c in want.items() if k != c}
+
+
+def test_few_edges_need_no_round(spark):
+    chain = list(range(300))
+    random.Random(7).shuffle(chain)
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long").repartition(7)
+    got = components(edges, most_rounds=1)  # a chain over several tasks takes more rounds than one
+    assert got.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, got.collect())) == [(k, 0) for k in range(300)]
