@@ -140,3 +140,24 @@ def test_counts_are_those_of_a_plain_count(rows):
     for target in range(len(rows)):
         want = [int(np.searchsorted(plain[j].cumsum(), target, side="right")) for j in range(3)]
         assert counts.find(np.full(3, target, np.uint16)).tolist() == want
+
+
+@pytest.mark.parametrize("blocks", [0, 1, 3, 4, 5, 6, 7, 9, 10, 11, 40])
+def test_no_few_blocks_are_left_over_for_a_call(blocks, monkeypatch):
+    monkeypatch.setattr(token_files, "LANES", 4)
+    parts = token_files.side_by_side(blocks)
+    assert [i for a, z in parts for i in range(a, z)] == list(range(blocks))
+    assert all(2 * (z - a) <= 3 * 4 for a, z in parts) and (len(parts) == 1 or all(z - a >= 3 for a, z in parts))
+
+
+def test_blocks_of_a_segment_share_calls_and_are_the_same_in_any(monkeypatch):
+    ids = np.arange(5 * token_files.BLOCK - 7, dtype=np.uint32) % 900
+    one = token_files.encoded(ids)
+    calls = []
+    for name in ("_encoded", "_decoded"):
+        monkeypatch.setattr(token_files, name, lambda *a, f=getattr(token_files, name): calls.append(1) or f(*a))
+    monkeypatch.setattr(token_files, "LANES", 4)
+    assert token_files.encoded(ids) == one and (token_files.decoded(one) == ids).all()
+    assert len(calls) == 2
+    monkeypatch.setattr(token_files, "LANES", 2)
+    assert token_files.encoded(ids) == one and (token_files.decoded(one) == ids).all()
