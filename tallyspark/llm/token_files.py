@@ -57,8 +57,11 @@ MAGIC = 0x32425444
 HEAD = struct.Struct("<4I")
 #: Blocks coded side by side; at most half as many again.
 LANES = 1536
-#: Ids buffered for a segment, which bounds memory and fills the lanes.
-SEGMENT_IDS = LANES * BLOCK
+#: Ids buffered for a segment, which bounds memory. A shard has about two thirds of them, so that its last blocks
+#: share the lanes of the others and are no segment of their own.
+SEGMENT_IDS = 3 * LANES * BLOCK
+#: Lanes turned at a time between rows of lanes and rows of steps, so that both stay in the cache.
+TURNED = 64
 #: Bytes of text that make about a shard.
 SHARD_BYTES = 32 << 20
 LARGEST = 1 << 16
@@ -68,9 +71,7 @@ _WORD, _LEAST = np.uint64(16), 8
 #: What counting a digit adds to running counts before each digit; as rows and as one number a row.
 _ADDED = (np.arange(8)[:, None] < np.arange(8)).astype(np.uint16)
 _ADDED_ROW = _ADDED.view(np.complex128).ravel()
-#: How sure a context is after a wrong and a right prediction, from how sure it was; 0 has never been set.
-_SURE = np.array([1] * 8 + [1, 2, 3, 4, 5, 6, 7, 7], np.uint32)
-_STATES, _STATE = np.uint32(3), np.uint32(7)
+_STATES, _STATE = np.uint16(3), np.uint16(7)
 _HASH = np.int64(40503)
 #: Cumulative probabilities of the first three events side by side, FIELD bits each: of FINE bits, with room for a weight of 8.
 FIELD, FINE, WEIGHT = 21, 13, 8
@@ -87,14 +88,12 @@ _FINE = np.uint64(_ONE)
 #: How fast the probabilities adapt, and what an event adds to them: to those at or above it.
 _FAST, _KEPT = np.uint64(5), _fields(*[_ONE >> 5] * 3)
 _TO = np.array([_fields(*[(_ONE >> 5) * (e <= k) for k in range(3)]) for e in range(4)], np.uint64)
-#: Where an event begins among the fields (before the first there is 0) and ends (after the last there is the whole).
-_BEGIN, _END = np.array([0, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 3 * FIELD], np.uint64)
-_BEGUN, _WHOLE = np.array([0, _ONE, _ONE, _ONE], np.uint64), np.array([0, 0, 0, _ONE], np.uint64)
+#: Where an event begins and ends among the fields; before the first and after the last there is 0, as in the bit above the fields.
+_BEGIN, _END = np.array([3 * FIELD, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 3 * FIELD], np.uint64)
 #: From the mixture to frequencies of BITS bits of which each event has _LEAST at least.
 _COARSE, _MIXED = np.uint64(FIELD - BITS), _fields(*[(1 << BITS) - 1] * 3)
 _CUT, _CUTS, _FLOOR = np.uint64(7), _fields(*[((1 << BITS) - 1) >> 7] * 3), _fields(_LEAST, 2 * _LEAST, 3 * _LEAST)
-_FREQ, _ALL = np.uint64((1 << BITS) - 1), np.array([0, 0, 0, 1 << BITS], np.uint64)
-_FREQS = np.array([0, *[(1 << BITS) - 1] * 3], np.uint64)
+_FREQ = np.uint64((1 << BITS) - 1)
 
 
 def _range_starts() -> np.ndarray:
@@ -108,85 +107,117 @@ _RANGE = np.searchsorted(_STARTS[: np.searchsorted(_STARTS, LARGEST)], np.arange
 _NEW = (np.arange(RANGES)[:, None] <= np.arange(RANGES)).astype(np.uint16)
 
 
+class Counts:
+    """How often each place of each lane occurred: a tree of LEVELS digits of three bits, whose rows
+    hold what came before each digit. Eight places share 64 bytes: their row of the tree, the count of
+    each, what last followed each and the id of each, so an id takes one line of the processor's
+    cache and not four."""
+
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes)
+        self.base = self.lane * (BLOCK * 4)
+        room = np.zeros(lanes * BLOCK * 4 + 32, np.uint16)
+        skip = -room.ctypes.data % 64 // 2
+        lines = room[skip : skip + lanes * BLOCK * 4]
+        self.own, self.last, self.ids = lines[8:], lines[16:], lines[24:]
+        self.before = [*(np.zeros(lanes << (3 * k + 3), np.uint16) for k in range(LEVELS - 1)), lines]
+        self.rows = [x.view(np.complex128) for x in self.before]  # a row of eight as one number of 16 bytes
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """Where a place of each lane is in own, last, ids and the last of before."""
+        return self.base + place + (place & -8) * 3
+
+    def go(self, place: np.ndarray) -> np.ndarray:
+        """These places are the next that add() counts; gives at() of them."""
+        self.place, self.here = place, self.at(place)
+        return self.here
+
+    def span(self, place: np.ndarray, lanes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts before the place of each lane and of it, or those of some lanes; these places are the next
+        that add() counts."""
+        lanes, here = self.lane if lanes is None else lanes, self.go(place)
+        here, place = here.take(lanes), place.take(lanes)
+        below = self.before[-1].take(here)
+        for k, x in enumerate(self.before[:-1]):
+            below += x.take((lanes << (3 * k + 3)) + (place >> (3 * (LEVELS - 1 - k))))
+        return below.astype(np.uint64), self.own.take(here).astype(np.uint64)
+
+    def find(self, target: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+        """The place whose counts hold the target of each lane, or of some lanes; targets are under a lane's
+        total. What is left of each target in its place stays in left."""
+        lanes = self.lane if lanes is None else lanes
+        at, self.left = lanes, target
+        for k, (x, rows) in enumerate(zip(self.before, self.rows)):
+            row, next_ = (at << 2, at << 5) if k == LEVELS - 1 else (at, at << 3)
+            row = rows.take(row).view(np.uint16).reshape(-1, 8)
+            digit = np.bitwise_count((row <= self.left[:, None]).view(np.uint64).ravel()) - np.uint8(1)
+            at = next_ + digit
+            self.left = self.left - x.take(at)
+        at = at - self.base.take(lanes)
+        return (at >> 5 << 3) + (at & 7)
+
+    def add(self) -> None:
+        self.before[0] += _ADDED_ROW.take(self.place >> (3 * (LEVELS - 1))).view(np.uint16)
+        for k in range(1, LEVELS):
+            path = self.place >> (3 * (LEVELS - 1 - k))
+            row = (self.lane << (3 * k)) + (path >> 3)
+            if k == LEVELS - 1:
+                row <<= 2
+            new = self.rows[k].take(row)
+            counts = new.view(np.uint16)
+            counts += _ADDED_ROW.take(path & 7).view(np.uint16)
+            self.rows[k][row] = new
+        self.own[self.here] = self.own.take(self.here) + np.uint16(1)
+
+
 class Mixer:
     """Probabilities of the four events for a number of lanes; predict() gives them, update() learns.
 
     A context's entry is the place of its last id, from 1, shifted by three bits, with how sure it
-    is in them. The mixture has the cumulative frequencies of the first three events in its fields."""
+    is in them; those of order 1 are kept beside the counts. The mixture has the cumulative frequencies
+    of the first three events in its fields."""
 
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.base = np.stack([lane * BLOCK, (lanes + lane) * BLOCK])
+    def __init__(self, lanes: int, counts: Counts | None = None):
+        self.counts, lane = counts or Counts(lanes), np.arange(lanes)
+        self.base, self.at1 = lane * BLOCK, self.counts.base
         self.states = np.stack([lane << 3, (lanes + lane) << 3])
-        self.last = np.zeros(2 * lanes * BLOCK, np.uint32)
+        self.last = np.zeros(lanes * BLOCK, np.uint16)
         self.key1, self.key2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         # an id of the block so far is likeliest at first
         first = _fields(_ONE // 16, _ONE // 8, _ONE * 13 // 16)
         self.p = np.full(lanes << 4, first)
         self.own = np.full((3, lanes), first)
-        self.done = np.full((3, lanes), 1 << (FINE - 2), np.uint32)
-        self.at = np.empty((2, lanes), np.int64)
+        self.done = np.full((3, lanes), 1 << (FINE - 2), np.int32)
+        self.entry = np.empty((2, lanes), np.uint16)
 
     def predict(self) -> np.ndarray:
-        np.add(self.base[0], (self.key1 * _HASH + self.key2) & (BLOCK - 1), out=self.at[0])
-        np.add(self.base[1], self.key1, out=self.at[1])
-        entry = self.last.take(self.at)
-        self.sure, self.guess = entry & _STATE, entry >> _STATES
+        self.at2 = self.base + ((self.key1 * _HASH + self.key2) & (BLOCK - 1))
+        self.entry[0] = self.last.take(self.at2)
+        self.entry[1] = self.counts.last.take(self.at1)
+        self.sure, self.guess = self.entry & _STATE, self.entry >> _STATES
         self.row = self.states + self.sure
         self.own[:2] = self.p.take(self.row)
         # divisions of whole numbers as IEEE doubles give the same everywhere
-        share = float(1 << WEIGHT) / (self.done[0] + self.done[1] + self.done[2])
-        parts = self.own * (self.done * share).astype(np.uint64)
+        weights = self.done.astype(np.float64)
+        weights *= float(1 << WEIGHT) / (weights[0] + weights[1] + weights[2])
+        parts = self.own * weights.astype(np.int32).astype(np.uint64)
         mixed = ((parts[0] + parts[1] + parts[2]) >> _COARSE) & _MIXED
         return mixed + (_FLOOR - ((mixed >> _CUT) & _CUTS))
 
     def update(self, place: np.ndarray, event: np.ndarray) -> None:
-        begin = (self.own >> _BEGIN.take(event)) & _BEGUN.take(event)
-        end = ((self.own >> _END.take(event)) & _FINE) | _WHOLE.take(event)
-        self.done = (self.done * np.uint32(31) + (end - begin).astype(np.uint32) + np.uint32(16)) >> np.uint32(5)
+        share = ((self.own >> _END.take(event)) - (self.own >> _BEGIN.take(event))) & _FINE
+        share = share.astype(np.int32)
+        share -= event == 3  # which ends at _ONE, not at 2**FINE
+        self.done = (self.done * np.int32(31) + share + np.int32(16)) >> np.int32(5)
         self.own += _TO.take(event) - ((self.own >> _FAST) & _KEPT)
         self.p[self.row] = self.own[:2]
-        entry = place.astype(np.uint32) + np.uint32(1)
-        self.last[self.at] = (entry << _STATES) | _SURE.take(self.sure + ((self.guess == entry) << _STATES))
+        entry = (place + 1).astype(np.uint16)
+        # how sure a context is: one more after a right prediction, 1 after a wrong one
+        self.entry = (entry << _STATES) + (np.minimum(self.sure, np.uint16(6)) * (self.guess == entry) + np.uint16(1))
+        self.last[self.at2] = self.entry[0]
+        self.counts.last[self.at1] = self.entry[1]
         self.key2 = self.key1
-        self.key1 = place
-
-
-class Counts:
-    """How often each place of each lane occurred: a tree of LEVELS digits of three bits, whose rows
-    hold what came before each digit."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.before = [np.zeros(lanes << (3 * k + 3), np.uint16) for k in range(LEVELS)]
-        self.rows = [x.view(np.complex128) for x in self.before]  # a row of eight as one number of 16 bytes
-        self.own = np.zeros(lanes * BLOCK, np.uint16)
-
-    def span(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts before each place and of it; these places are the next that add() counts."""
-        self.path = [(self.lane << (3 * k + 3)) + (place >> (3 * (LEVELS - 1 - k))) for k in range(LEVELS)]
-        below = self.before[0].take(self.path[0])
-        for x, at in zip(self.before[1:], self.path[1:]):
-            below += x.take(at)
-        return below.astype(np.uint64), self.own.take(self.path[-1]).astype(np.uint64)
-
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The place whose counts hold each target; targets are under a lane's total."""
-        at = self.lane
-        for x, rows in zip(self.before, self.rows):
-            row = rows.take(at).view(np.uint16).reshape(-1, 8)
-            at = (at << 3) + np.bitwise_count((row <= target[:, None]).view(np.uint64).ravel()) - 1
-            target = target - x.take(at)
-        return at - self.lane * BLOCK
-
-    def add(self) -> None:
-        for rows, at in zip(self.rows, self.path):
-            row = at >> 3
-            new = rows.take(row)
-            counts = new.view(np.uint16)
-            counts += _ADDED_ROW.take(at & 7).view(np.uint16)
-            rows[row] = new
-        self.own[self.path[-1]] += np.uint16(1)
+        self.key1, self.at1 = place, self.counts.at(place)
 
 
 class News:
@@ -212,26 +243,27 @@ class News:
 
 def _bounds(mixed: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where an event begins in the frequencies, and how many it has."""
-    start = (mixed >> _BEGIN.take(event)) & _FREQS.take(event)
-    return start, (((mixed >> _END.take(event)) & _FREQ) | _ALL.take(event)) - start
+    start = (mixed >> _BEGIN.take(event)) & _FREQ
+    # the last one ends at 2**BITS, which is 0 in as many bits
+    return start, ((mixed >> _END.take(event)) - start) & _FREQ
 
 
 def _shifted(low: np.ndarray, width: np.ndarray, step) -> None:
-    """step(ready, low) for each word that leaves, until no lane is ready: lanes whose top word is
+    """step(lanes, low) for each word that leaves, until no lane is ready: lanes whose top word is
     settled or, where the width is small, must be cut short."""
-    while True:
-        end = low ^ (low + width)
-        narrow = width < _BOTTOM
-        ready = (end < _TOP) | narrow
-        if not ready.any():
-            return
+    at = np.flatnonzero(width < _TOP)  # others can't be ready
+    while len(at):
+        lo, wide = low[at], width[at]
+        settled, narrow = (lo ^ (lo + wide)) < _TOP, wide < _BOTTOM
         if narrow.any():
-            cut = np.flatnonzero(narrow & (end >= _TOP))
-            width[cut] = (np.uint64(0) - low[cut]) & (_BOTTOM - np.uint64(1))
-        step(ready, low)
-        by = ready * _WORD
-        low <<= by
-        width <<= by
+            wide = np.where(narrow & ~settled, (np.uint64(0) - lo) & (_BOTTOM - np.uint64(1)), wide)
+            settled |= narrow
+        at, lo, wide = at[settled], lo[settled], wide[settled]
+        step(at, lo)
+        wide <<= _WORD
+        low[at] = lo << _WORD
+        width[at] = wide
+        at = at[wide < _TOP]
 
 
 def _appearance(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,6 +276,15 @@ def _appearance(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank[inverse], new
 
 
+def turned(rows: np.ndarray) -> np.ndarray:
+    """The transposed array, in order of its own rows."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for x in range(0, len(rows), TURNED):
+        for y in range(0, len(out), TURNED):
+            out[y : y + TURNED, x : x + TURNED] = rows[x : x + TURNED, y : y + TURNED].T
+    return out
+
+
 def side_by_side(blocks: int) -> list[tuple[int, int]]:
     """(first, stop) of the blocks of each call: equal shares of about LANES, or fewer in one call."""
     calls = max(1, (blocks + LANES // 2) // LANES)
@@ -268,16 +309,18 @@ def _encoded(ids: np.ndarray) -> list[bytes]:
     places, news = np.empty((lanes, steps), np.int16), np.empty((lanes, steps), bool)
     for j in range(lanes):
         places[j], news[j] = _appearance(table[j])
-    table, places, news = (np.ascontiguousarray(x.T) for x in (table, places, news))
-    mixer, counts, ranges = Mixer(lanes), Counts(lanes), News(lanes)
+    table, places, news = map(turned, (table, places, news))
+    counts, ranges = Counts(lanes), News(lanes)
+    mixer = Mixer(lanes, counts)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     words = np.zeros((lanes, 3 * BLOCK + 16), np.uint16)
     flat, first = words.ravel(), np.arange(lanes) * words.shape[1]
     count = first.copy()
 
     def put(ready: np.ndarray, lo: np.ndarray) -> None:
-        flat[count] = lo >> _HIGH  # where a lane is not ready the next word overwrites it
-        count.__iadd__(ready)
+        at = count[ready]
+        flat[at] = lo >> _HIGH
+        count[ready] = at + 1
 
     for i in range(steps):
         place = places[i].astype(np.int64)
@@ -288,12 +331,12 @@ def _encoded(ids: np.ndarray) -> list[bytes]:
         unit = width >> np.uint64(BITS)
         low += start * unit
         width = part * unit
-        start, part = counts.span(place)
-        if i:
-            unit = width // np.uint64(i)
-            known = event == 2
-            low += start * unit * known
-            width = np.where(known, part * unit, width)
+        known = np.flatnonzero(event == 2)
+        start, part = counts.span(place, known)
+        if len(known):
+            unit = width[known] // np.uint64(i)
+            low[known] += start * unit
+            width[known] = part * unit
         at = np.flatnonzero(event == 3)
         if len(at):
             value = table[i, at].astype(np.int64)
@@ -336,19 +379,18 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
     lanes = len(blocks)
     begin = np.cumsum([0, *(len(b[2]) for b in blocks)])[:-1]
     code = np.concatenate([*(b[2] for b in blocks), np.zeros(8, np.uint16)]).astype(np.uint64)
-    last_code = len(code) - 1
     at_code = begin + 4
     value = (code[begin] << np.uint64(48)) | (code[begin + 1] << np.uint64(32)) | (code[begin + 2] << np.uint64(16)) | code[begin + 3]
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     steps = max(b[0] for b in blocks)
-    mixer, counts, ranges = Mixer(lanes), Counts(lanes), News(lanes)
-    out, ids, distinct = np.zeros((steps, lanes), np.uint16), np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes, np.int64)
-    lane = np.arange(lanes) * BLOCK
+    counts, ranges = Counts(lanes), News(lanes)
+    mixer = Mixer(lanes, counts)
+    out, distinct = np.zeros((steps, lanes), np.uint16), np.zeros(lanes, np.int64)
 
     def take(ready: np.ndarray, lo: np.ndarray) -> None:
-        new = code.take(at_code, mode="clip") * ready
-        value.__ilshift__(ready * _WORD).__ior__(new)
-        at_code.__iadd__(ready)
+        at = at_code[ready]
+        value[ready] = (value[ready] << _WORD) | code.take(at, mode="clip")
+        at_code[ready] = at + 1
 
     for i in range(steps):
         mixed = mixer.predict()
@@ -360,17 +402,17 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
         start, part = _bounds(mixed, event)
         low += start * unit
         width = part * unit
-        known = event == 2
         place = np.where(event < 2, np.where(event == 0, mixer.guess[0], mixer.guess[1]).astype(np.int64) - 1, distinct)
-        if i:
-            unit = width // np.uint64(i)
-            target = np.minimum((value - low) // np.maximum(unit, np.uint64(1)), np.uint64(i - 1))
-            place = np.where(known, counts.find(target.astype(np.uint16)), place)
+        known = np.flatnonzero(event == 2) if i else at_code[:0]
+        if len(known):
+            unit, lo = width[known] // np.uint64(i), low[known]
+            target = np.minimum((value[known] - lo) // np.maximum(unit, np.uint64(1)), np.uint64(i - 1)).astype(np.uint16)
+            place[known] = counts.find(target, known)
         np.clip(place, 0, BLOCK - 1, out=place)  # for damaged blocks
-        start, part = counts.span(place)
-        if i:
-            low += start * unit * known
-            width = np.where(known, part * unit, width)
+        here = counts.go(place)
+        if len(known):
+            low[known] = lo + (target - counts.left) * unit
+            width[known] = counts.own.take(here[known]) * unit
         at = np.flatnonzero(event == 3)
         if len(at):
             total = ranges.total(at)
@@ -383,18 +425,18 @@ def _decoded(blocks: list[tuple], first: int) -> list[np.ndarray]:
             unit = np.maximum(wd // size, np.uint64(1))
             off = np.minimum((value[at] - lo) // unit, size - np.uint64(1))
             low[at], width[at] = lo + off * unit, unit
-            ids[lane[at] + place[at]] = _STARTS[kind] + off.astype(np.int64)
+            counts.ids[here[at]] = _STARTS[kind] + off.astype(np.int64)
             distinct[at] += 1
             ranges.add(at, kind)
         _shifted(low, width, take)
-        out[i] = ids.take(lane + place)
+        out[i] = counts.ids.take(here)
         counts.add()
         mixer.update(place, event)
-    out = np.ascontiguousarray(out.T).astype(np.uint32)
+    out = turned(out)
     parts = []
     for j, (n, crc, *_) in enumerate(blocks):
-        own = out[j, :n]
-        if zlib.crc32(own.astype("<u4").tobytes()) != crc:
+        own = out[j, :n].astype("<u4")
+        if zlib.crc32(own) != crc:
             raise ValueError(f"block {first + j} is damaged")
         parts.append(own)
     return parts
@@ -455,7 +497,7 @@ def read(files: DataFrame) -> DataFrame:
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                raw = decoded(batch.column("payload")[r].as_py()).astype("<u4").tobytes()
+                raw = memoryview(decoded(batch.column("payload")[r].as_py()).astype("<u4", copy=False)).cast("B")
                 size = np.asarray(batch.column("lengths")[r].values, dtype=np.int64)
                 end = np.cumsum(size)
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(size.tolist(), end.tolist(), strict=True)]

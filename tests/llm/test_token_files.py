@@ -161,3 +161,32 @@ def test_blocks_of_a_segment_share_calls_and_are_the_same_in_any(monkeypatch):
     assert len(calls) == 2
     monkeypatch.setattr(token_files, "LANES", 2)
     assert token_files.encoded(ids) == one and (token_files.decoded(one) == ids).all()
+
+
+def test_what_a_place_needs_is_in_one_line_of_the_cache():
+    counts = token_files.Counts(5)
+    for place in (0, 1, 7, 8, 511, token_files.BLOCK - 1):
+        at = counts.at(np.full(5, place))
+        lines = [(x.ctypes.data + 2 * at) // 64 for x in (counts.before[-1], counts.own, counts.last, counts.ids)]
+        assert all((x == lines[0]).all() for x in lines) and len(set(lines[0].tolist())) == 5
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(1, 2**64 - 1)), min_size=1, max_size=20))
+def test_words_leave_lane_by_lane(rows):
+    low, width = (np.array(x, np.uint64) for x in zip(*[(a, min(b, 2**64 - 1 - a) or 1) for a, b in rows]))
+    left: list[list[int]] = [[] for _ in rows]
+    want = []
+    for lo, wide in zip(low.tolist(), width.tolist()):
+        words = []
+        while (settled := (lo ^ ((lo + wide) % 2**64)) < 2**48) or wide < 2**40:
+            wide = wide if settled else -lo % 2**40
+            words.append(lo >> 48)
+            lo, wide = (lo << 16) % 2**64, (wide << 16) % 2**64
+        want.append(words)
+
+    def step(lanes, lo):
+        for j, x in zip(lanes.tolist(), lo.tolist(), strict=True):
+            left[j].append(x >> 48)
+
+    token_files._shifted(low, width, step)
+    assert left == want
