@@ -1,9 +1,11 @@
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyspark.llm import jaccard_join
+from tallyspark.llm import jaccard_join, words
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, key string"
@@ -146,3 +148,31 @@ def test_cells_a_little_full_come_later_in_the_order(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "candidate_edges", lambda rows: seen.append(rows.count()) or plain(rows))
     found(spark, docs)
     assert seen[0] <= jaccard_join.CELL
+
+
+def test_hashes_tell_words_apart_as_split_does():
+    """White space at ends, nulls, slices, words beyond ASCII and on both sides of every eight bytes."""
+    rng = random.Random(13)
+    sizes = ["".join(rng.choice("abé") for _ in range(k)) for k in range(1, 200)]
+    texts = ["  A b\t", None, "", "\n \t", "a" * 64 + " " + "a" * 65 + " " + "a" * 66, " ".join(sizes), "é É e a\x00 a", " ".join(sizes[::-1])]
+    for array in (pa.array(texts), pa.array(texts)[3:], pa.array(texts)[:0], pa.array([None, ""], pa.string())):
+        plain = words.split(array, words.SPACED)
+        h, starts = words.word_hashes(array, words.SPACED)
+        assert starts.tolist() == plain.starts.tolist()
+        assert len(set(h.tolist())) == len(set(plain.codes.tolist())) == len(set(zip(h.tolist(), plain.codes.tolist(), strict=True)))
+        sets = jaccard_join.shingle_sets(array)
+        assert [len(s) for s in sets] == [len(brute.shingles(t)) for t in array.to_pylist()]
+        assert all((s[1:] > s[:-1]).all() for s in sets)
+
+
+def test_shingles_are_made_without_a_call_for_each_word():
+    text = pa.array([" ".join(f"w{i}" for i in range(20_000))])
+    jaccard_join.shingle_sets(text)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        (found,) = jaccard_join.shingle_sets(text)
+    finally:
+        sys.setprofile(None)
+    assert len(found) == 19_996
+    assert len(calls) < 2_000
